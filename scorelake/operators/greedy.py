@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.boxes import Box, box, intersection_area, iou
+from scorelake.operators.greedy_size import split_by_size
 from scorelake.operators.spatial import explode_cells
 from scorelake.session import cut_lineage
 
@@ -33,15 +34,6 @@ def covered_conflict(ratio: float) -> Conflict:
     return lambda kept, other: (other.area > 0) & (intersection_area(kept, other) > other.area * ratio)
 
 
-def split_by_size(df: DataFrame, keys: Sequence[str], max_group: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to `max_group`, and the rows of larger groups (None when there are none)."""
-    large = df.groupBy(*keys).count().filter(F.col("count") > max_group).select(*keys)
-    large = cut_lineage(large)
-    if large.isEmpty():
-        return df, None
-    return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
-
-
 def _suppress_fold(df: DataFrame, keys: Sequence[str], conflict: Conflict) -> DataFrame:
     payload = [c for c in df.columns if c not in keys]
     ordered = F.array_sort(F.collect_list(F.struct("prio", *[c for c in payload if c != "prio"])))

@@ -7,14 +7,16 @@ several cells is reported in one of them: the cell of the top-left corner of the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.boxes import Box, box
+from scorelake.functions.boxes import Box
+from scorelake.operators.greedy_size import split_by_size
 
 CELL = 256
+MAX_PARTNERS = 512
 
 
 def cell_range(low: Column, high: Column, size: float) -> Column:
@@ -80,5 +82,50 @@ def collapse_copies(df: DataFrame, keys: Sequence[str], id_col: str, extra: Sequ
     return df.groupBy(*keys, "x0", "y0", "x1", "y1", *extra).agg(F.min(id_col).alias(id_col))
 
 
-def default_box() -> Box:
-    return box()
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column through a one-element generator.
+
+    The optimizer copies a projected expression into every later use and into null checks of joins;
+    it does not do so across a generator, so the value is computed once per row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def cheapest_in_reach(
+    points: DataFrame,
+    targets: DataFrame,
+    *,
+    keys: Sequence[str],
+    x: Column,
+    reach: tuple[Column, Column],
+    fields: Sequence[str],
+    rank: Callable[[Callable[[str], Column]], Column],
+    name: str,
+    cell: float = CELL,
+    max_partners: int = MAX_PARTNERS,
+) -> DataFrame:
+    """Add struct column `name`: the smallest `rank` over the targets whose x-range holds the point.
+
+    `rank` builds an ordered struct (NULL when a gate fails) from the point's columns and a field
+    accessor of the target. Targets travel as one short array per (keys, x-cell), so a point meets
+    one row and nothing is aggregated afterwards. Cells with more than `max_partners` targets are
+    joined row by row, with a combinable minimum.
+    """
+    spread = targets.withColumn("__cell", F.explode(cell_range(reach[0], reach[1], cell))).select(
+        *keys, "__cell", *fields)
+    small, large = split_by_size(spread, [*keys, "__cell"], max_partners)
+    arrays = small.groupBy(*keys, "__cell").agg(F.collect_list(F.struct(*fields)).alias("__targets"))
+    located = points.withColumn("__cell", F.floor(x / cell))
+    joined = located.join(arrays, [*keys, "__cell"], "left")
+    out = once(joined, name, F.array_min(F.transform("__targets", lambda t: rank(lambda n: t[n]))))
+    out = out.drop("__cell", "__targets")
+    if large is None:
+        return out
+    hot_cells = large.select(*keys, "__cell").distinct()
+    renamed = large.select(*keys, "__cell", *(F.col(f).alias("__t_" + f) for f in fields))
+    hot = located.join(hot_cells, [*keys, "__cell"], "left_semi").withColumn("__row", F.struct(*points.columns))
+    found = (hot.join(renamed, [*keys, "__cell"]).groupBy("__row")
+             .agg(F.min(rank(lambda n: F.col("__t_" + n))).alias(name)).select("__row.*", name))
+    cold = located.join(hot_cells, [*keys, "__cell"], "left_anti").join(arrays, [*keys, "__cell"], "left")
+    cold = once(cold, name, F.array_min(F.transform("__targets", lambda t: rank(lambda n: t[n]))))
+    return cold.select(*points.columns, name).unionByName(found.select(*points.columns, name))

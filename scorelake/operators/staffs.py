@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.operators.greedy import split_by_size
+from scorelake.operators.greedy_size import split_by_size
+from scorelake.operators.spatial import once
 
 MAX_STAVES = 1024
 
@@ -22,7 +25,23 @@ def _distinct_staves(staff: DataFrame) -> DataFrame:
         F.min("staff_index").alias("staff_index"))
 
 
-def locate_on_staff(df: DataFrame, staff: DataFrame | None, *, x: Column, y: Column,
+class StaffLookup(NamedTuple):
+    """Staves prepared for lookups: one array per ordinary page, rows of oversized pages (or None)."""
+
+    arrays: DataFrame
+    large: DataFrame | None
+
+
+def staff_lookup(staff: DataFrame | StaffLookup | None, max_staves: int = MAX_STAVES) -> StaffLookup | None:
+    if staff is None or isinstance(staff, StaffLookup):
+        return staff
+    small, large = split_by_size(_distinct_staves(staff), ["page_id"], max_staves)
+    arrays = small.groupBy("page_id").agg(F.collect_list(F.struct(
+        "left_x", "right_x", "center_y", "unit", "staff_index")).alias("__staves"))
+    return StaffLookup(arrays, large)
+
+
+def locate_on_staff(df: DataFrame, staff: DataFrame | StaffLookup | None, *, x: Column, y: Column,
                     fallback_unit: float = 12.0, max_staves: int = MAX_STAVES) -> DataFrame:
     """Add `staff_index` and `unit` of the nearest staff.
 
@@ -30,12 +49,10 @@ def locate_on_staff(df: DataFrame, staff: DataFrame | None, *, x: Column, y: Col
     the lower index. The staves of a page travel as one short array, so a point meets one row per
     page; a page with more than `max_staves` distinct staves is joined row by row instead.
     """
-    if staff is None:
+    lookup = staff_lookup(staff, max_staves)
+    if lookup is None:
         return df.withColumn("staff_index", F.lit(None).cast("long")).withColumn("unit", F.lit(float(fallback_unit)))
-    distinct = _distinct_staves(staff)
-    small, large = split_by_size(distinct, ["page_id"], max_staves)
-    arrays = small.groupBy("page_id").agg(F.collect_list(F.struct(
-        "left_x", "right_x", "center_y", "unit", "staff_index")).alias("__staves"))
+    arrays, large = lookup
     points = df.withColumn("__x", x).withColumn("__y", y)
 
     def rank(field) -> Column:
@@ -43,7 +60,8 @@ def locate_on_staff(df: DataFrame, staff: DataFrame | None, *, x: Column, y: Col
         return F.struct(outside.alias("outside"), F.abs(F.col("__y") - field("center_y")).alias("d"),
                         field("staff_index").alias("staff_index"), field("unit").alias("unit"))
 
-    out = points.join(arrays, "page_id", "left").withColumn("__best", F.array_min(F.transform("__staves", lambda st: rank(lambda n: st[n]))))
+    out = once(points.join(arrays, "page_id", "left"), "__best",
+               F.array_min(F.transform("__staves", lambda st: rank(lambda n: st[n]))))
     out = (out.withColumn("staff_index", F.col("__best.staff_index"))
            .withColumn("unit", F.coalesce(F.col("__best.unit").cast("double"), F.lit(float(fallback_unit))))
            .drop("__staves", "__best", "__x", "__y"))
@@ -67,7 +85,7 @@ def closest_staffs(points: DataFrame, staff: DataFrame, *, point_id: str) -> Dat
     cols = ["center_y", "x_center", "y_upper", "y_lower", "unit", "staff_index"]
     distinct = staff.groupBy("page_id", *cols[:-1]).agg(F.min("staff_index").alias("staff_index"))
     arrays = distinct.groupBy("page_id").agg(F.collect_list(F.struct(*cols)).alias("staves"))
-    ranked = points.join(arrays, "page_id").withColumn("near", F.slice(F.array_sort(F.transform("staves", lambda s: F.struct(
+    ranked = once(points.join(arrays, "page_id"), "near", F.slice(F.array_sort(F.transform("staves", lambda s: F.struct(
         ((s["x_center"] - F.col("x")) * (s["x_center"] - F.col("x"))
          + (s["center_y"] - F.col("y")) * (s["center_y"] - F.col("y"))).alias("d2"),
         s["staff_index"].alias("staff_index"), s.alias("s")))), 1, 3))

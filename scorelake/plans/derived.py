@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scorelake.sources.tables import read_table
+
 LINE = """SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id,
   l_partkey AS pk, l_suppkey AS sk, CAST(l_quantity AS BIGINT) AS qty, CAST(l_linenumber AS BIGINT) AS ln,
   ((((l_orderkey % 25) * 8 + l_linenumber) * 16777216 + l_partkey) * 1048576 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS uid,
@@ -43,7 +45,7 @@ PAGE = "SELECT DISTINCT CAST(floor(o_orderkey / 25) AS BIGINT) AS page_id FROM o
 
 STAFF = """SELECT page_id, staff_index, CAST(floor(staff_index / 4) AS BIGINT) AS system_no, staff_index % 4 AS track,
   100 AS left_x, 1860 AS right_x, 150 + 310 * staff_index AS y_top, 16 + (page_id % 5) * 2 AS unit
-  FROM (SELECT page_id, CAST({unnest} AS BIGINT) AS staff_index FROM page)"""
+  FROM (SELECT page_id, {unnest} AS staff_index FROM page)"""
 
 VIEWS = {"li": LINE, "ob": OBJECT, "dc": COPY, "det": DET, "gt": GT, "nb": NOTE_BASE, "note": NOTE, "page": PAGE}
 NEEDS = {"li": (), "ob": ("li",), "dc": ("ob",), "det": ("dc",), "gt": ("ob",), "nb": ("li",), "note": ("nb",), "page": (),
@@ -61,7 +63,7 @@ def _chain(names: tuple[str, ...], engine: str) -> list[str]:
 
     for name in names:
         visit(name)
-    unnest = {"spark": "explode(sequence(0, 7))", "duckdb": "unnest(range(8))"}[engine]
+    unnest = {"spark": "explode(sequence(0L, 7L))", "duckdb": "unnest(range(8))"}[engine]
     copies = {"spark": "explode(array(0, 1))", "duckdb": "unnest([0, 1])"}[engine]
     text = {**VIEWS, "staff": STAFF.format(unnest=unnest), "dc": COPY.format(unnest2=copies)}
     return [f"{name} AS ({text[name]})" for name in ordered]
@@ -76,7 +78,9 @@ def with_views(*names: str, then: str = "", recursive: bool = False) -> str:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the parquet files of `sf_dir`."""
     source = "orders" if name in ("page", "staff") else "lineitem"
-    files = {source: spark.read.parquet(f"{sf_dir}/{source}.parquet")}
+    columns = {"orders": ["o_orderkey"],
+               "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]}[source]
+    files = {source: read_table(spark, sf_dir, source, columns)}
     body = ",\n".join(_chain((name,), "spark"))
     for table in files:
         body = body.replace(f"FROM {table}", f"FROM {{{table}}}")

@@ -92,21 +92,21 @@ def _associated(spark, sf):
 
 
 @query("symbol_association", with_views("det", "note", "staff", then=CLASS_MAP_SQL + ", " + ASSOC) + f"""
-SELECT page_id, det_seq, class_name, matched_ng, {per_mille('score')} AS score_millionths, status, reason FROM res""")
+SELECT page_id, det_seq, class_name, coalesce(matched_ng, -1) AS matched_ng, coalesce({per_mille('score')}, -1) AS score_millionths, status, coalesce(reason, '') AS reason FROM res""")
 def symbol_association(spark, sf):
     return _associated(spark, sf).select(
         "page_id", F.col("cand_seq").alias("det_seq"), "class_name", "matched_ng",
         F.floor(F.col("association_score") * 1000000).alias("score_millionths"),
-        F.col("association_status").alias("status"), F.col("association_reason").alias("reason"))
+        F.col("association_status").alias("status"), F.col("association_reason").alias("reason")).fillna(-1).fillna("")
 
 
 @query("association_dedup", with_views("det", "note", "staff", then=CLASS_MAP_SQL + ", " + ASSOC + DEDUP) + """
-SELECT page_id, det_seq, CASE WHEN k = 1 THEN matched_ng END AS matched_ng, CASE WHEN k > 1 THEN 'rejected' ELSE status END AS status,
-  CASE WHEN k > 1 THEN 'duplicate_for_note_group' ELSE reason END AS reason FROM ded""")
+SELECT page_id, det_seq, CASE WHEN k = 1 THEN matched_ng ELSE -1 END AS matched_ng, CASE WHEN k > 1 THEN 'rejected' ELSE status END AS status,
+  CASE WHEN k > 1 THEN 'duplicate_for_note_group' ELSE coalesce(reason, '') END AS reason FROM ded""")
 def association_dedup(spark, sf):
     return associate.keep_best(_associated(spark, sf)).select(
         "page_id", F.col("cand_seq").alias("det_seq"), "matched_ng", F.col("association_status").alias("status"),
-        F.col("association_reason").alias("reason"))
+        F.col("association_reason").alias("reason")).fillna(-1).fillna("")
 
 
 @query("association_summary", with_views("det", "note", "staff", then=CLASS_MAP_SQL + ", " + ASSOC + DEDUP) + """
@@ -117,13 +117,13 @@ def association_summary(spark, sf):
 
 
 @query("association_page_summary", with_views("det", "note", "staff", then=CLASS_MAP_SQL + ", " + ASSOC + DEDUP) + """
-SELECT page_id, count(*) AS candidate_count, count(*) FILTER (k = 1) AS matched_count, count(*) - count(*) FILTER (k = 1) AS rejected_count
+SELECT coalesce(page_id, -1) AS page_id, count(*) AS candidate_count, count(*) FILTER (k = 1) AS matched_count, count(*) - count(*) FILTER (k = 1) AS rejected_count
 FROM ded GROUP BY ROLLUP (page_id)""")
 def association_page_summary(spark, sf):
     done = associate.keep_best(_associated(spark, sf))
     matched = F.count(F.when(F.col("association_status") == "matched", 1))
     return done.rollup("page_id").agg(F.count("*").alias("candidate_count"), matched.alias("matched_count"),
-                                      (F.count("*") - matched).alias("rejected_count"))
+                                      (F.count("*") - matched).alias("rejected_count")).fillna(-1)
 
 
 HAIRPIN = """pin AS (SELECT d.page_id, d.det_seq, cm.class_name, d.x0, d.y0, d.x1 + 160 AS x1, d.y1 FROM det d JOIN cm USING (class_id)
@@ -147,15 +147,15 @@ def _hairpins(spark, sf):
 
 
 @query("hairpin_association", with_views("det", "note", "staff", then=CLASS_MAP_SQL + ", " + HAIRPIN) + f"""
-SELECT page_id, det_seq, class_name, CASE WHEN reason IS NULL THEN l.id END AS start_ng, CASE WHEN reason IS NULL THEN r.id END AS stop_ng,
-  CASE WHEN reason IS NULL THEN 'matched' ELSE 'rejected' END AS status, reason,
-  CASE WHEN reason IS NULL THEN {per_mille('1.0::DOUBLE / (1.0::DOUBLE + l.d / l.u + r.d / r.u)')} END AS score_millionths,
-  CASE WHEN reason IS NULL THEN CASE WHEN (y0 + y1) / 2 < (l.cy + r.cy) / 2 THEN 'above' ELSE 'below' END END AS resolved_side FROM hr""")
+SELECT page_id, det_seq, class_name, CASE WHEN reason IS NULL THEN l.id ELSE -1 END AS start_ng, CASE WHEN reason IS NULL THEN r.id ELSE -1 END AS stop_ng,
+  CASE WHEN reason IS NULL THEN 'matched' ELSE 'rejected' END AS status, coalesce(reason, '') AS reason,
+  CASE WHEN reason IS NULL THEN {per_mille('1.0::DOUBLE / (1.0::DOUBLE + l.d / l.u + r.d / r.u)')} ELSE -1 END AS score_millionths,
+  CASE WHEN reason IS NULL THEN CASE WHEN (y0 + y1) / 2 < (l.cy + r.cy) / 2 THEN 'above' ELSE 'below' END ELSE '' END AS resolved_side FROM hr""")
 def hairpin_association(spark, sf):
     return _hairpins(spark, sf).select(
         "page_id", F.col("cand_seq").alias("det_seq"), "class_name", "start_ng", "stop_ng",
         F.col("association_status").alias("status"), F.col("association_reason").alias("reason"),
-        F.floor(F.col("association_score") * 1000000).alias("score_millionths"), "resolved_side")
+        F.floor(F.col("association_score") * 1000000).alias("score_millionths"), "resolved_side").fillna(-1).fillna("")
 
 
 @query("hairpin_roles", with_views("det", "note", "staff", then=CLASS_MAP_SQL + ", " + HAIRPIN) + """

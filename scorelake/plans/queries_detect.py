@@ -110,10 +110,10 @@ def area_suppression(spark, sf):
 
 
 @query("class_mapping_join", with_views("det", then=CLASS_MAP_SQL) + """
-SELECT class_name, side, count(*) AS n FROM det JOIN cm USING (class_id) GROUP BY 1, 2""")
+SELECT class_name, coalesce(side, '') AS side, count(*) AS n FROM det JOIN cm USING (class_id) GROUP BY 1, 2""")
 def class_mapping_join(spark, sf):
     mapped = detect.map_classes(load(spark, sf, "det").select("class_id"), class_map(spark))
-    return mapped.groupBy("class_name", "side").agg(F.count("*").alias("n"))
+    return mapped.groupBy("class_name", "side").agg(F.count("*").alias("n")).fillna("")
 
 
 LIMITS = {**CLASS_CONFIDENCE, "trill": 0.9}
