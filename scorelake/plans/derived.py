@@ -47,9 +47,25 @@ STAFF = """SELECT page_id, staff_index, CAST(floor(staff_index / 4) AS BIGINT) A
   100 AS left_x, 1860 AS right_x, 150 + 310 * staff_index AS y_top, 16 + (page_id % 5) * 2 AS unit
   FROM (SELECT page_id, {unnest} AS staff_index FROM page)"""
 
-VIEWS = {"li": LINE, "ob": OBJECT, "dc": COPY, "det": DET, "gt": GT, "nb": NOTE_BASE, "note": NOTE, "page": PAGE}
+CURVE = """SELECT page_id, ng AS candidate_id, staff_index, unit, x0 + 6 + (qty % 9 - 4) AS left_x, y0 - 10 AS left_y,
+  x0 + 6 + (qty % 9 - 4) + 100 * (1 + h % 2) + sk % 7 AS right_x, y0 - 10 + (sk % 5) * 8 AS right_y, 60 + h % 40 AS conf_pct,
+  CASE WHEN h % 3 = 0 THEN 'below' ELSE 'above' END AS curve_direction FROM note WHERE pk % 4 = 0"""
+
+CURVE_COLUMN = """SELECT page_id, uid AS component, px, py, h, pk, 12 + h % 16 AS n, {unnest28} AS i FROM ob WHERE (pk + sk) % 5 = 0"""
+
+CURVE_PIXEL = """SELECT page_id, component, px + i AS x,
+  py + CAST(floor((3 + pk % 9) * 4 * i * (n - 1 - i) / (n * n)) AS BIGINT) + (i * pk) % 2 + j AS y
+  FROM (SELECT *, {unnest2} AS j FROM curve_column WHERE i < n AND (i * 7 + pk) % 11 <> 0)"""
+
+LETTER = """SELECT page_id, ng * 2 + j AS cand_seq, staff_index, unit, substr('pmfszr', CAST((qty + j * sk) % 6 + 1 AS INT), 1) AS letter,
+  x0 + j * 14 AS x0, 150 + 310 * staff_index + 5 * unit + sk % 9 AS y0, x0 + j * 14 + 12 AS x1, 150 + 310 * staff_index + 6 * unit + sk % 9 AS y1,
+  40 + h % 60 AS conf_pct FROM (SELECT *, {unnest2} AS j FROM note WHERE pk % 3 = 0)"""
+
+VIEWS = {"li": LINE, "ob": OBJECT, "dc": COPY, "det": DET, "gt": GT, "nb": NOTE_BASE, "note": NOTE, "page": PAGE,
+         "curve": CURVE}
 NEEDS = {"li": (), "ob": ("li",), "dc": ("ob",), "det": ("dc",), "gt": ("ob",), "nb": ("li",), "note": ("nb",), "page": (),
-         "staff": ("page",)}
+         "staff": ("page",), "curve": ("note",), "curve_column": ("ob",), "curve_pixel": ("curve_column",),
+         "letter": ("note",)}
 
 
 def _chain(names: tuple[str, ...], engine: str) -> list[str]:
@@ -65,7 +81,9 @@ def _chain(names: tuple[str, ...], engine: str) -> list[str]:
         visit(name)
     unnest = {"spark": "explode(sequence(0L, 7L))", "duckdb": "unnest(range(8))"}[engine]
     copies = {"spark": "explode(array(0, 1))", "duckdb": "unnest([0, 1])"}[engine]
-    text = {**VIEWS, "staff": STAFF.format(unnest=unnest), "dc": COPY.format(unnest2=copies)}
+    text = {**VIEWS, "staff": STAFF.format(unnest=unnest), "dc": COPY.format(unnest2=copies),
+            "curve_column": CURVE_COLUMN.format(unnest28={"spark": "explode(sequence(0L, 27L))", "duckdb": "unnest(range(28))"}[engine]),
+            "curve_pixel": CURVE_PIXEL.format(unnest2=copies), "letter": LETTER.format(unnest2=copies)}
     return [f"{name} AS ({text[name]})" for name in ordered]
 
 
