@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, for the few operators that run Python in tasks."""
+    context = spark.sparkContext
+    if getattr(context, "_scorelake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-package-")) / "scorelake"), "zip", root.parent, root.name)
+        context.addPyFile(archive)
+    context._scorelake_shipped = True
