@@ -106,13 +106,13 @@ def staff_code(note: Column, *, bass: bool = False) -> Column:
     codes, base = (BASS_CODES, 2) if bass else (TREBLE_CODES, 4)
     names = list(codes)
     letter = F.array_position(F.array(*(F.lit(n) for n in names)), F.substring(note, 6, 1)).cast("int") - 1
-    value = pick(list(codes.values()), letter) + (F.substring(note, 7, 1).cast("int") - base) * 7
+    value = pick(list(codes.values()), letter) + (F.substring(note, 7, 1).try_cast("int") - base) * 7
     return F.when(note.startswith("rest"), "r0").when(note.startswith("note"), F.concat(F.lit("n"), value.cast("string")))
 
 
 def note_of_staff_code(code: Column, *, bass: bool = False) -> Column:
     names, base = (BASS_NAMES, 2) if bass else (TREBLE_NAMES, 4)
-    value = F.substring(code, 2, 8).cast("int")
+    value = F.substring(code, 2, 8).try_cast("int")
     return F.when(code.startswith("n"), F.concat(
         pick(names, F.pmod(value, F.lit(7))), (F.floor((value + 1) / 7) + base).cast("string")))
 

@@ -132,7 +132,8 @@ def staff_codes(spark, sf):
 @query("token_alignment")
 def token_alignment(spark, sf):
     """Tokens of a line against its elements, of which every seventh line misses one and every fifth has one more."""
-    split = F.filter(F.split("text", " "), lambda t: t != "tie")
+    plain = F.regexp_replace("text", "([A-G])[#b]+(?=[0-9])", "$1")
+    split = F.filter(F.split(plain, " "), lambda t: t != "tie")
     base = lines(spark, sf).select("line_id", split.alias("tokens"))
     code = lambda t: F.when(t.startswith("clef"), F.array(F.lit("c1"))).when(t.startswith("key"), F.array(F.lit("s"), F.lit("s"))).when(
         t == "barline", F.array(F.lit("b"))).when(t.startswith("note") | t.startswith("rest"), F.transform(F.split(t, r"\|"), lambda n: music.staff_code(n))).otherwise(
