@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,11 @@ def ship_package(spark: SparkSession) -> None:
         archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-package-")) / "scorelake"), "zip", root.parent, root.name)
         context.addPyFile(archive)
     context._scorelake_shipped = True
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder every executor can reach: under `spark.checkpoint.dir`, or local where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"spark-{name}-")
