@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.vocabulary import WHOLE_TICKS
-from scorelake.session import ship_package
+from scorelake.session import cut_lineage, ship_package
 
 REST, SINGLE, GROUP = 1, 0, 2
 
@@ -248,7 +248,7 @@ def tune_bars(elements: DataFrame, keys: list[str]) -> DataFrame:
     `beam_l/r/x/y`, `ts_num`, `ts_den`. Adds `tuned_ticks` and the rule used (`tune_case`).
     """
     target = F.floor(F.lit(WHOLE_TICKS) * F.col("ts_num") / F.col("ts_den"))
-    runs = group_runs(fill_group_ids(elements, keys), keys)
+    runs = cut_lineage(group_runs(fill_group_ids(elements, keys), keys))
     half_rest = (F.col("run_group") > 0) & F.col("is_rest") & (F.col("ticks") == WHOLE_TICKS // 2)
     runs = runs.withColumn("ticks", F.when(half_rest, 0).otherwise(F.col("ticks")))
     grouped = F.col("run_group") > 0
@@ -272,6 +272,7 @@ def tune_bars(elements: DataFrame, keys: list[str]) -> DataFrame:
     listed = runs.groupBy(*keys, "run").agg(
         F.array_sort(F.collect_list(F.struct(*ELEMENT))).alias("elements"), F.max("run_group").alias("run_group"),
         F.sum("ticks").alias("run_ticks")).join(facts, keys)
+    listed = cut_lineage(listed)  # the branches below read it
     n = F.size("elements")
     as_is = F.transform("elements", lambda e: e["ticks"].cast("long"))
     is_group = F.col("run_group") > 0
@@ -297,7 +298,7 @@ def tune_bars(elements: DataFrame, keys: list[str]) -> DataFrame:
                        units(F.col("target_ticks")).alias("target"), F.floor(F.col("denom") / F.col("ts_den")).alias("unit"))
     solved = calibrate_groups(bars).select(*keys, "denom", F.explode(F.arrays_zip("r", "calibrated")).alias("z")).select(
         *keys, F.col("z.r.run").alias("run"), (F.col("z.calibrated") * F.floor(F.lit(WHOLE_TICKS) / F.col("denom"))).cast("long").alias("desired"))
-    settled = hard.join(solved, [*keys, "run"])
+    settled = cut_lineage(hard.join(solved, [*keys, "run"]))
     same = settled.filter(F.col("desired") == F.col("run_ticks")).drop("desired").withColumn("new_ticks", as_is)
     lone = settled.filter((F.col("desired") != F.col("run_ticks")) & (n == 1)).withColumn("new_ticks", F.array("desired")).drop("desired")
     more = settled.filter((F.col("desired") != F.col("run_ticks")) & (n > 1))

@@ -144,6 +144,7 @@ def match(pairs: DataFrame, *, keys: Sequence[str], left: str, right: str, prior
     """Greedy one-to-one matching: walk pairs by ascending `priority`, use each side once."""
     work = pairs.select(*keys, left, right, *payload,
                         F.struct(*(p.alias(f"p{i}") for i, p in enumerate(priority))).alias("prio"))
+    work = cut_lineage(work)  # the join that made the pairs runs once for the size check and the choice
     small, large = split_by_size(work, keys, max_group)
     out = _match_fold(small, keys, left, right, payload)
     if large is not None:

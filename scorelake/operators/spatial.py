@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.boxes import Box
 from scorelake.operators.greedy_size import split_by_size
+from scorelake.session import cut_lineage
 
 CELL = 256
 MAX_PARTNERS = 512
@@ -113,6 +114,7 @@ def cheapest_in_reach(
     """
     spread = targets.withColumn("__cell", F.explode(cell_range(reach[0], reach[1], cell))).select(
         *keys, "__cell", *fields)
+    spread = cut_lineage(spread)  # made once for the size check and the join
     small, large = split_by_size(spread, [*keys, "__cell"], max_partners)
     arrays = small.groupBy(*keys, "__cell").agg(F.collect_list(F.struct(*fields)).alias("__targets"))
     located = points.withColumn("__cell", F.floor(x / cell))
