@@ -164,3 +164,66 @@ def relabel_clefs(clefs: DataFrame) -> DataFrame:
 def staff_step(y: Column, y_top: Column, unit: Column) -> Column:
     """Diatonic step of a height: 0 on the middle line, positive upwards, by nearest line or space."""
     return F.rint((y_top + 2 * unit - y) / (unit / 2)).cast("long")
+
+
+def barlines_in_range(barlines: DataFrame) -> DataFrame:
+    """Barlines that start and end within the staff range widened by a tenth (`range_top`, `range_bottom`)."""
+    slack = F.floor((F.col("range_bottom") - F.col("range_top")) / 10)
+    low, high = F.col("range_top") - slack, F.col("range_bottom") + slack
+    return barlines.filter((F.col("y0") >= low) & (F.col("y0") < high) & (F.col("y1") >= low) & (F.col("y1") < high))
+
+
+def rests_in_range(rests: DataFrame) -> DataFrame:
+    """Rests higher than two lines (fifths of the range) that start or end within the staff range."""
+    inside = lambda c: F.col(c).between(F.col("range_top"), F.col("range_bottom"))
+    line = F.floor((F.col("range_bottom") - F.col("range_top") + 1) / 5)
+    return rests.filter((inside("y0") | inside("y1")) & (F.abs(F.col("y1") - F.col("y0")) > 2 * line))
+
+
+def note_to_the_right(boxes: DataFrame, heads: DataFrame) -> DataFrame:
+    """The first head within one unit to the right of each box at the height of its center.
+
+    `boxes` has `unit`; heads at the same left edge give the lower id. All boxes stay.
+    """
+    first = heads.groupBy("page_id", *(F.col(n).alias("h_" + n) for n in Box._fields)).agg(F.min("ng").alias("ng"))
+    b, hb = box(), Box(*(F.col("h_" + n) for n in Box._fields))
+    cy = F.bround(b.cy, 0)
+    probe = Box(b.x1, cy, b.x1 + F.bround("unit", 0) - 1, cy)
+    reach = Box(hb.x0, hb.y0, hb.x1 - 1, hb.y1 - 1)
+    pairs = grid_join(boxes, first, keys=["page_id"], left_region=probe, right_region=reach, how="left")
+    best = F.min(F.when(F.col("ng").isNotNull(), F.struct(F.greatest(hb.x0, b.x1).alias("x"), F.col("ng").alias("ng"))))
+    return pairs.groupBy(*boxes.columns).agg(best.alias("b")).select(*boxes.columns, F.col("b.ng").alias("ng"))
+
+
+def staff_of_note(closest: DataFrame) -> Column:
+    """Staff of a note between two staves: the first inside its lines, otherwise split at the midpoint."""
+    a, b, y = F.col("first"), F.col("second"), F.col("y")
+    inside = (a["center_y"] == b["center_y"]) | y.between(a["y_upper"], a["y_lower"])
+    upper = F.when(a["center_y"] < b["center_y"], a).otherwise(b)
+    lower = F.when(a["center_y"] < b["center_y"], b).otherwise(a)
+    return F.when(inside, a["staff_index"]).when(y < (upper["center_y"] + lower["center_y"]) / 2, upper["staff_index"]).otherwise(lower["staff_index"])
+
+
+def reassign_groups(groups: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Staff of a group whose top or bottom edge lies in one staff range and in no neighbouring one.
+
+    `ranges(page_id, staff_index, range_top, range_bottom, next_top, prev_bottom)`; distinct staff ranges of a
+    page are few and bounded by its height. Other groups keep their staff.
+    """
+    r = ranges.select("page_id", F.col("staff_index").alias("r_staff"), "range_top", "range_bottom", "next_top", "prev_bottom")
+    edge = lambda c: F.col(c).between(F.col("range_top"), F.col("range_bottom"))
+    fits = ((edge("y0") | edge("y1")) & (F.col("next_top").isNull() | (F.col("y1") < F.col("next_top")))
+            & (F.col("prev_bottom").isNull() | (F.col("y0") > F.col("prev_bottom"))))
+    hit = groups.join(r, "page_id").filter(fits).groupBy("page_id", "ng").agg(F.max("r_staff").alias("new_staff"))
+    return groups.join(hit, ["page_id", "ng"], "left").withColumn("staff_index", F.coalesce("new_staff", "staff_index")).drop("new_staff")
+
+
+def bar_elements_only(groups: DataFrame) -> DataFrame:
+    """Note groups that count in a bar: not ornaments only, and not beamed while all heads are quarters or longer.
+
+    One row per head with `chunk`, `rhythm`, `is_ornament`; quarters have code 0.
+    """
+    kept = groups.groupBy("page_id", "ng").agg(F.min("is_ornament").alias("only_ornaments"), F.max("rhythm").alias("shortest"),
+                                              F.max("chunk").alias("chunk"))
+    ok = kept.filter(~F.col("only_ornaments") & ~(F.col("chunk").isNotNull() & (F.col("shortest") <= 0)))
+    return groups.join(ok.select("page_id", "ng"), ["page_id", "ng"], "left_semi")

@@ -50,25 +50,47 @@ def sample_per_class(rows: DataFrame, *, class_col: str, image_col: str, n: int,
 
 
 def select_subset(tiles: DataFrame, *, class_count: int, per_class: int, total: int, negatives: int, seed: int) -> DataFrame:
-    """Tiles that cover every class at least `per_class` times, filled up to `total`, plus negatives.
+    """A small set of tiles that shows every class `per_class` times, filled up to `total`, plus negatives.
 
-    Classes are visited in order on the driver (a fixed short list); each visit takes a bounded top-n
-    of the tiles of that class, preferring tiles already chosen, then fewer clipped boxes, no
-    padding, about three boxes, small size. Only the chosen keys (at most `total`) are kept between visits.
-    `tiles(tile_id, class_ids, n_boxes, n_clipped, padded, is_negative, area)`.
+    `tiles(tile_id, annotation_ids, class_ids, n_clipped, padded, is_negative)`, with one class per annotation.
+    Classes are visited in order (a fixed short list). Each visit takes a bounded top-n of tiles not
+    chosen yet: few annotations that are already shown, nothing clipped, no padding, about three of
+    the class, few boxes, then hash order. Only the chosen tiles, at most `total`, reach the driver.
     """
-    rank_hash = hash_rank_key("tile_id", seed=seed)
-    positives = tiles.filter(~F.col("is_negative")).withColumn("__h", rank_hash)
-    order = ["n_clipped", F.col("padded").cast("int"), F.abs(F.col("n_boxes") - 3), "area", "__h"]
-    chosen: list = []
+    ranked = tiles.withColumn("__h", hash_rank_key("tile_id", seed=seed))
+    positives, empty = ranked.filter(~F.col("is_negative")), ranked.filter("is_negative")
+    chosen: list[str] = []
+    shown: list[str] = []
+
+    def take(pool: DataFrame, extra: list, n: int) -> int:
+        seen = F.size(F.array_intersect("annotation_ids", F.array(*(F.lit(v) for v in shown)).cast("array<string>")))
+        order = [seen, F.col("n_clipped") > 0, F.col("padded"), *extra, F.size("annotation_ids"), "__h"]
+        fresh = pool.filter(~F.col("tile_id").isin(chosen)) if chosen else pool
+        picked = fresh.orderBy(*order).select("tile_id", "annotation_ids").take(n)
+        for row in picked:
+            chosen.append(row.tile_id)
+            shown.extend(v for v in row.annotation_ids if v not in shown)
+        return len(picked)
+
     for class_id in range(class_count):
-        already = F.col("tile_id").isin(chosen) if chosen else F.lit(False)
-        picked = (positives.filter(F.array_contains("class_ids", F.lit(class_id).cast("long")))
-                  .orderBy(F.when(already, 0).otherwise(1), *order).limit(per_class).select("tile_id"))
-        chosen += [r.tile_id for r in picked.take(per_class) if r.tile_id not in chosen]
+        of_class = F.size(F.filter("class_ids", lambda c: c == class_id))
+        if take(positives.filter(of_class > 0), [F.abs(of_class - 3)], per_class) < per_class:
+            raise ValueError(f"fewer than {per_class} tiles show class {class_id}")
+    if len(chosen) > total:
+        raise ValueError(f"{len(chosen)} tiles are needed for all classes, more than {total}")
     if len(chosen) < total:
-        rest = positives.filter(~F.col("tile_id").isin(chosen)).orderBy(*order).limit(total - len(chosen))
-        chosen += [r.tile_id for r in rest.select("tile_id").take(total - len(chosen))]
-    empty = (tiles.filter(F.col("is_negative") & ~F.col("padded")).withColumn("__h", rank_hash)
-             .orderBy("__h").limit(negatives).drop("__h"))
-    return tiles.filter(F.col("tile_id").isin(chosen[:max(total, len(chosen))])).unionByName(empty)
+        take(positives, [], total - len(chosen))
+    clear = empty.filter(~F.col("padded"))
+    pool = clear if len(clear.select("tile_id").take(negatives)) == negatives else empty
+    sample = pool.orderBy("__h").limit(negatives)
+    return positives.filter(F.col("tile_id").isin(chosen)).unionByName(sample).drop("__h")
+
+
+def limit_images(images: DataFrame, n: int) -> DataFrame:
+    """The first n images in file order, for trial runs."""
+    return images.orderBy("image_order").limit(n)
+
+
+def manifest_order(tiles: DataFrame) -> DataFrame:
+    """Tiles sorted by image, row and column; the sort is distributed by range."""
+    return tiles.orderBy("split", "image_id", "tile_y", "tile_x")

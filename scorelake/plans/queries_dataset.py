@@ -157,13 +157,27 @@ def class_samples(spark, sf):
 @query("subset_coverage")
 def subset_coverage(spark, sf):
     key = ["image_id", "tile_x", "tile_y"]
-    per_tile = assigned(spark, sf).groupBy(*key).agg(
-        F.array_sort(F.collect_set("class_id")).alias("class_ids"), F.count("*").alias("n_boxes"),
-        F.count(F.when(F.col("clipped"), 1)).alias("n_clipped"), F.sum(box().area).alias("area"))
+    members = F.array_sort(F.collect_list(F.struct(F.concat_ws("-", "image_id", "gt_seq").alias("id"), "class_id")))
+    per_tile = assigned(spark, sf).groupBy(*key).agg(members.alias("m"), F.count(F.when(F.col("clipped"), 1)).alias("n_clipped"))
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
     tiles = tiling.tile_windows(images(spark, sf)).join(per_tile, key, "left").select(
-        F.concat_ws("_", *key).alias("tile_id"), F.coalesce("class_ids", F.array().cast("array<bigint>")).alias("class_ids"),
-        F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"), F.coalesce("n_clipped", F.lit(0)).alias("n_clipped"),
-        ((F.col("pad_right") > 0) | (F.col("pad_bottom") > 0)).alias("padded"), F.col("n_boxes").isNull().alias("is_negative"),
-        F.coalesce("area", F.lit(0)).alias("area"))
-    out = stats.select_subset(tiles, class_count=6, per_class=4, total=30, negatives=5, seed=42)
+        F.concat_ws("_", *key).alias("tile_id"), F.coalesce(F.transform("m", lambda r: r["id"]), empty("string")).alias("annotation_ids"),
+        F.coalesce(F.transform("m", lambda r: r["class_id"]), empty("bigint")).alias("class_ids"), F.coalesce("n_clipped", F.lit(0)).alias("n_clipped"),
+        ((F.col("pad_right") > 0) | (F.col("pad_bottom") > 0)).alias("padded"), F.col("m").isNull().alias("is_negative"))
+    out = stats.select_subset(tiles, class_count=6, per_class=2, total=16, negatives=5, seed=42)
     return out.select("tile_id", F.array_join(F.col("class_ids").cast("array<string>"), ",").alias("class_ids"), "is_negative")
+
+
+@query("manifest_order", with_views("page", then=TILES) + """
+SELECT split, image_id, tile_x, tile_y FROM tiles ORDER BY split, image_id, tile_y, tile_x""")
+def manifest_order(spark, sf):
+    return stats.manifest_order(tiling.tile_windows(images(spark, sf))).select("split", "image_id", "tile_x", "tile_y")
+
+
+@query("run_summary", """
+WITH l AS (SELECT o_custkey % 50 AS run, o_orderkey AS epoch, o_totalprice AS loss, o_totalprice % 1000 AS metric FROM orders)
+SELECT run, min(epoch) AS first_epoch, max(epoch) AS last_epoch, arg_max(epoch, {'m': metric, 'e': -epoch}) + 1 AS best_epoch, max(metric) AS best_metric, min(loss) AS min_loss FROM l GROUP BY 1""")
+def run_summary(spark, sf):
+    log = spark.read.parquet(f"{sf}/orders.parquet").select(
+        (F.col("o_custkey") % 50).alias("run"), F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("loss"), (F.col("o_totalprice") % 1000).alias("metric"))
+    return stats.run_summary(log, losses=["loss"], metric="metric")
