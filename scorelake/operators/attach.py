@@ -43,11 +43,12 @@ def accidental_to_note(accidentals: DataFrame, heads: DataFrame) -> DataFrame:
 
 def next_accidental(accidentals: DataFrame) -> DataFrame:
     """The accidental that starts within half a width to the right at the same height: edges of chains."""
-    right, nb = prefixed(accidentals.select("page_id", F.col("acc_id").alias("next_id"), *box()), "n_")
+    others = collapse_copies(accidentals.withColumnRenamed("acc_id", "next_id"), ["page_id"], "next_id")
+    right, nb = prefixed(others, "n_")
     b = box()
     probe = Box(b.x1, b.y0, b.x1 + F.floor((b.x1 - b.x0) / 2), b.y1)
     pairs = grid_join(accidentals, right, keys=["page_id"], left_region=probe, right_region=nb,
-                      condition=(intersection_area(probe, nb) > 0) & (F.col("acc_id") != F.col("next_id")))
+                      condition=intersection_area(probe, nb) > 0)  # the probe starts right of its own box
     return pairs.groupBy("page_id", "acc_id").agg(F.min("next_id").alias("next_id"))
 
 

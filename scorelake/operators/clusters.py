@@ -11,7 +11,7 @@ from scorelake.functions.boxes import Box, box
 from scorelake.operators.attach import prefixed
 from scorelake.operators.components import connected_components
 from scorelake.operators.greedy_size import split_by_size
-from scorelake.operators.spatial import grid_join
+from scorelake.operators.spatial import collapse_copies, grid_join
 from scorelake.session import ship_package
 
 
@@ -21,13 +21,17 @@ def note_chunks(groups: DataFrame, beams: DataFrame) -> DataFrame:
     Groups and beams are both nodes and an edge joins a group to a beam it touches, so a beam over
     many groups adds one edge each, not all pairs.
     """
-    right, bb = prefixed(beams.select("page_id", "beam_id", *box()), "b_")
-    touch = grid_join(groups.select("page_id", "ng", *box()), right, keys=["page_id"], left_region=box(), right_region=bb)
+    # copies of a box touch the same things: one of them stands for all
+    reps = collapse_copies(groups, ["page_id"], "ng")
+    right, bb = prefixed(collapse_copies(beams, ["page_id"], "beam_id"), "b_")
+    touch = grid_join(reps, right, keys=["page_id"], left_region=box(), right_region=bb)
     node = lambda kind, c: F.struct("page_id", F.lit(kind).alias("kind"), F.col(c).alias("id"))
     edges = touch.select(node(0, "ng").alias("src"), node(1, "beam_id").alias("dst"))
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
     labels = connected_components(nodes, edges)
-    return labels.filter("id.kind = 0").select("id.page_id", F.col("id.id").alias("ng"), F.col("label.id").alias("chunk"))
+    found = labels.filter("id.kind = 0").select("id.page_id", F.col("id.id").alias("rep"), F.col("label.id").alias("chunk"))
+    named = reps.withColumnRenamed("ng", "rep").join(found, ["page_id", "rep"])
+    return groups.select("page_id", "ng", *box()).join(named, ["page_id", *Box._fields]).select("page_id", "ng", "chunk")
 
 
 def two_means(sizes: DataFrame, *, key: str = "page_id", value: str = "size", rounds: int = 20) -> DataFrame:

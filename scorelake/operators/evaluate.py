@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions.boxes import Box, box, iou, size_bucket
 from scorelake.operators.greedy import MAX_GROUP, match
-from scorelake.operators.prefix import running
-from scorelake.operators.spatial import grid_join
+from scorelake.operators.prefix import row_number, running
+from scorelake.operators.spatial import collapse_copies, grid_join
+from scorelake.session import cut_lineage
 
 
 def iou_pairs(gt: DataFrame, pred: DataFrame, *, iou_threshold: float = 0.5, same_class: bool = True,
@@ -31,8 +31,25 @@ def iou_pairs(gt: DataFrame, pred: DataFrame, *, iou_threshold: float = 0.5, sam
 
 
 def greedy_match(gt: DataFrame, pred: DataFrame, *, iou_threshold: float = 0.5, same_class: bool = True,
-                 page: str = "page_id", max_group: int = MAX_GROUP) -> DataFrame:
-    """One-to-one matches, best IoU first; ties prefer the larger gt, then the larger prediction index."""
+                 page: str = "page_id", max_group: int = MAX_GROUP, max_copies: int = 64) -> DataFrame:
+    """One-to-one matches, best IoU first; ties prefer the larger gt, then the larger prediction index.
+
+    Pages where labels and predictions both hold more than `max_copies` copies of a box are matched
+    by groups of copies, so that no pairs are built between the members of two such groups.
+    """
+    keys = [page, "class_id"] if same_class else [page]
+    copied = [d.groupBy(page, "class_id", *Box._fields).count().filter(F.col("count") > max_copies).select(*keys).distinct()
+              for d in (gt, pred)]
+    if copied[0].isEmpty():
+        return _match_rows(gt, pred, iou_threshold, same_class, page, max_group)
+    hot = cut_lineage(copied[0].join(copied[1], keys, "left_semi"))
+    if hot.isEmpty():
+        return _match_rows(gt, pred, iou_threshold, same_class, page, max_group)
+    cold = _match_rows(gt.join(hot, keys, "left_anti"), pred.join(hot, keys, "left_anti"), iou_threshold, same_class, page, max_group)
+    return cold.unionByName(_match_copies(gt.join(hot, keys, "left_semi"), pred.join(hot, keys, "left_semi"), iou_threshold, same_class, page))
+
+
+def _match_rows(gt: DataFrame, pred: DataFrame, iou_threshold: float, same_class: bool, page: str, max_group: int) -> DataFrame:
     pairs = iou_pairs(gt, pred, iou_threshold=iou_threshold, same_class=same_class, page=page)
     keys = [page, "gt_class"] if same_class else [page]
     payload = ["pred_class", "iou"] if same_class else ["gt_class", "pred_class", "iou"]
@@ -41,6 +58,67 @@ def greedy_match(gt: DataFrame, pred: DataFrame, *, iou_threshold: float = 0.5,
                  max_group=max_group).select(page, "gt_seq", "pred_seq", "gt_class", "pred_class", "iou")
 
 
+def _members(rows: DataFrame, seq: str, group: str, page: str) -> DataFrame:
+    """Rows with the id of their group of copies and their rank in it, larger sequence first."""
+    key = [page, "class_id", *Box._fields]
+    groups = rows.groupBy(*key).agg(F.min(seq).alias(group))
+    ranked = row_number(rows.join(groups, key).withColumn("down", -F.col(seq)).withColumn("seg", F.floor(F.col("down") / 4096)),
+                        keys=[page, group], segment="seg", order=["down"], name="rank")
+    return cut_lineage(ranked.select(*key, group, F.col(seq).alias("member"), "rank"))
+
+
+def _match_copies(gt: DataFrame, pred: DataFrame, iou_threshold: float, same_class: bool, page: str) -> DataFrame:
+    """Greedy matching of groups of copies with a capacity.
+
+    Copies have equal overlaps, so a group gives away its members in order of their sequence. Two groups
+    that are each other's best, without a rival of equal overlap, match as many members as the smaller
+    one has left; with such a rival they match one member per round, as the walk over rows would.
+    """
+    g, p = _members(gt, "gt_seq", "gid", page), _members(pred, "det_seq", "pid", page)
+    reps = [m.groupBy(page, "class_id", *Box._fields, c).agg(F.max("rank").alias("size")) for m, c in ((g, "gid"), (p, "pid"))]
+    pairs = cut_lineage(iou_pairs(reps[0].withColumnRenamed("gid", "gt_seq"), reps[1].withColumnRenamed("pid", "det_seq"),
+                                  iou_threshold=iou_threshold, same_class=same_class, page=page)
+                        .withColumnRenamed("gt_seq", "gid").withColumnRenamed("pred_seq", "pid"))
+    used = [cut_lineage(r.select(page, c, "size", F.lit(0).cast("long").alias("used"))) for r, c in zip(reps, ("gid", "pid"))]
+    done: list[DataFrame] = []
+    while True:
+        ends = []
+        for state, members, c, s in ((used[0], g, "gid", "g"), (used[1], p, "pid", "p")):
+            top = members.select(page, c, F.col("member").alias(f"{s}_top"), (F.col("rank") - 1).alias("used"))
+            ends.append(state.join(top, [page, c, "used"]).select(page, c, f"{s}_top", F.col("used").alias(f"{s}_used"),
+                                                                  (F.col("size") - F.col("used")).alias(f"{s}_left")))
+        live = cut_lineage(pairs.join(ends[0], [page, "gid"]).join(ends[1], [page, "pid"]).withColumn(
+            "prio", F.struct(-F.col("iou"), -F.col("g_top"), -F.col("p_top"))))
+        if live.isEmpty():
+            break
+        for c in ("gid", "pid"):
+            best = live.groupBy(page, c).agg(F.min("prio").alias(f"{c}_best"), F.max("iou").alias("top_iou"))
+            tied = live.join(best.select(page, c, "top_iou"), [page, c]).filter("iou = top_iou").groupBy(page, c).agg(
+                F.count("*").alias(f"{c}_ties"))
+            best = best.join(tied, [page, c]).drop("top_iou")
+            live = live.join(best, [page, c])
+        take = F.when((F.col("gid_ties") == 1) & (F.col("pid_ties") == 1), F.least("g_left", "p_left")).otherwise(1)
+        chosen = cut_lineage(live.filter((F.col("prio") == F.col("gid_best")) & (F.col("prio") == F.col("pid_best"))).select(
+            page, "gid", "pid", "gt_class", "pred_class", "iou", "g_used", "p_used", take.alias("take")))
+        done.append(chosen)
+        used = [cut_lineage(state.join(chosen.groupBy(page, c).agg(F.sum("take").alias("more")), [page, c], "left").select(
+            page, c, "size", (F.col("used") + F.coalesce("more", F.lit(0))).alias("used"))) for state, c in zip(used, ("gid", "pid"))]
+    if not done:
+        return _match_rows(gt, pred, iou_threshold, same_class, page, MAX_GROUP)
+    matched = done[0]
+    for part in done[1:]:
+        matched = matched.unionByName(part)
+
+    def spell(members: DataFrame, c: str, start: str, name: str) -> DataFrame:
+        rows = members.select(page, c, "rank", F.col("member").alias(name)).join(matched, [page, c])
+        inside = (F.col("rank") > F.col(start)) & (F.col("rank") <= F.col(start) + F.col("take"))
+        return rows.filter(inside).select(page, "gid", "pid", "g_used", "gt_class", "pred_class", "iou", (F.col("rank") - F.col(start)).alias("k"), name)
+
+    left, right = spell(g, "gid", "g_used", "gt_seq"), spell(p, "pid", "p_used", "pred_seq")
+    return left.join(right.select(page, "gid", "pid", "g_used", "k", "pred_seq"), [page, "gid", "pid", "g_used", "k"]).select(
+        page, "gt_seq", "pred_seq", "gt_class", "pred_class", "iou")
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """0 when the denominator is 0."""
     return F.coalesce(numerator / F.nullif(denominator, F.lit(0)), F.lit(0.0))
@@ -159,5 +237,7 @@ def mean_average_precision(gt: DataFrame, pred: DataFrame, thresholds: Sequence[
     return rows.groupBy("class_id").agg(F.avg("ap").alias("map"))
 
 
-def window_over_pages() -> W:
-    return W.partitionBy("page_id")
+def overlapping_predictions(gt: DataFrame, pred: DataFrame, *, iou_threshold: float = 0.5, page: str = "page_id") -> DataFrame:
+    """Semi-join: predictions that overlap some label; copies of a label count once."""
+    labels = collapse_copies(gt.withColumn("class_id", F.lit(0)), [page, "class_id"], "gt_seq")
+    return iou_pairs(labels, pred, iou_threshold=iou_threshold, same_class=False, page=page).select(page, "pred_seq").distinct()

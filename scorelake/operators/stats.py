@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.operators.ranking import hash_rank_key, summarize
+from scorelake.session import cut_lineage
 
 
 def class_statistics(instances: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def select_subset(tiles: DataFrame, *, class_count: int, per_class: int, total:
     chosen yet: few annotations that are already shown, nothing clipped, no padding, about three of
     the class, few boxes, then hash order. Only the chosen tiles, at most `total`, reach the driver.
     """
-    ranked = tiles.withColumn("__h", hash_rank_key("tile_id", seed=seed))
+    ranked = cut_lineage(tiles.withColumn("__h", hash_rank_key("tile_id", seed=seed)))  # visited once per class
     positives, empty = ranked.filter(~F.col("is_negative")), ranked.filter("is_negative")
     chosen: list[str] = []
     shown: list[str] = []

@@ -127,5 +127,4 @@ def confidence_summary(spark, sf):
 SELECT page_id, count(*) AS n FROM det d WHERE EXISTS (SELECT 1 FROM gt g WHERE g.page_id = d.page_id AND {sql_iou('g.', 'd.')} >= 0.5) GROUP BY 1""")
 def overlap_semijoin(spark, sf):
     gt, pred = _inputs(spark, sf)
-    pairs = E.iou_pairs(gt, pred, same_class=False)
-    return pairs.select("page_id", "pred_seq").distinct().groupBy("page_id").agg(F.count("*").alias("n"))
+    return E.overlapping_predictions(gt, pred).groupBy("page_id").agg(F.count("*").alias("n"))

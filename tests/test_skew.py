@@ -139,3 +139,10 @@ def test_running_aggregates_in_segments(spark):
         assert r.s == sum(x[2] for x in past)
         assert r.m == max((x[2] for x in past if x[1] < r.pos), default=None)
         assert r.mark_filled == max(x[3] for x in past if x[3] is not None)
+
+
+def test_matching_of_copies(det):
+    gt = det.filter("det_seq % 2 = 0").select("page_id", F.col("det_seq").alias("gt_seq"), "class_id", *box())
+    gt = gt.withColumn("class_id", F.lit(0))
+    pred = det.withColumn("class_id", F.lit(0)).withColumn("x1", F.col("x1") + F.col("det_seq") % 2)
+    same(evaluate.greedy_match(gt, pred), evaluate.greedy_match(gt, pred, max_copies=20))
