@@ -131,7 +131,3 @@ def chord_flags(heads: DataFrame) -> DataFrame:
     return heads.groupBy("page_id", "ng").agg(
         (F.count_distinct("rhythm") == 1).alias("same_type"), F.bool_or("has_stem").alias("has_stem"),
         (F.sum(F.when(F.col("stem_up"), 1).otherwise(-1)) > 0).alias("stem_up"), F.count("*").alias("n_heads"))
-
-
-def group_hull(b: Box) -> list:
-    return [F.min(b.x0).alias("x0"), F.min(b.y0).alias("y0"), F.max(b.x1).alias("x1"), F.max(b.y1).alias("y1")]
