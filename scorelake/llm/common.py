@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +54,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
         if not batch.num_rows:
             continue
         values = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         part = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
 
 
+#: A key with more than one in HOT_SHARE of all rows is joined by broadcast: there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 1000
+
+
+def join_copies(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of staged `rows` with one row per `key` in staged `groups`, whose `size` is the number of rows with that key.
+
+    Rows of the few keys that hold many rows stay where they are and get a broadcast; the rest is shuffled.
+    """
+    bound = max(rows.count() // HOT_SHARE, 1)
+    hot = groups.filter(F.col(size) > bound)
+    some = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) <= bound), key)
+    return some.unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`id, label` for every node of `edges(src, dst)`; the label is the smallest id reachable.
 

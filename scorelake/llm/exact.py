@@ -12,10 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import WHITE, shared_folder, staged, text_or_empty
-
-#: Digests whose group holds more than one in HOT_SHARE rows are joined by broadcast: there are fewer than HOT_SHARE of them.
-HOT_SHARE = 1000
+from scorelake.llm.common import WHITE, join_copies, shared_folder, staged, text_or_empty
 
 
 class DigestIndex:
@@ -55,12 +52,7 @@ class DigestIndex:
         known = groups.select("digest", "group_size").join(self.rows(), "digest").withColumn("fresh", F.col("batch") == batch)
         known = staged(known.drop("batch"), "known")
 
-        bound = max(rows.count() // HOT_SHARE, 1)
-        hot = F.broadcast(known.filter(F.col("group_size") > bound))
-        some = rows.join(hot, "digest")
-        rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(
-            known.filter(F.col("group_size") <= bound), "digest")
-        return some.unionByName(rest).select(
+        return join_copies(rows, known, "digest", "group_size").select(
             "doc_id", "n_chars", "keep_id", "group_size", (F.col("fresh") & (F.col("uid") == F.col("keep_uid"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"))
 

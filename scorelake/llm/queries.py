@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import exact
+from scorelake.llm import exact, near, packing, token_output
 from scorelake.llm.common import table
 from scorelake.llm.registry import query
 
@@ -24,3 +24,27 @@ FROM d
 @query("op10_exact_dedup", EXACT_SQL)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.DigestIndex(spark).add(table(spark, sf_dir, "documents")).drop("n_chars")
+
+
+@query("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80).drop("uid", "set_id")
+
+
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
+@query("op6_token_output")
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.packed_segments(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
