@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import exact, near, packing, token_output
+from scorelake.llm import exact, html, near, packing, pieces, token_output, toxic
 from scorelake.llm.common import table
 from scorelake.llm.registry import query
 
@@ -48,3 +48,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_output")
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_segments(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
+@query("op5_pieces")
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
