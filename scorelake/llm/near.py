@@ -5,9 +5,11 @@ at most one differing place (pigeonhole), so each chunk is indexed once per plac
 all pairs under that distance share a key. Sets of similarity 0.8 differ in a fifth of the places; they share no key with a
 probability of 2e-6, the more similar ones less.
 
-Links are confirmed on the full sets, so that only real links join documents. In the group of a key every member is first compared with
-the group's smallest (a star, not all pairs); once links have merged components, only members of different components are
-compared, in cells of bounded size, the closest first, until nothing is left to compare. Texts with equal sets are one member.
+Links are confirmed on the full sets, so that only real links join documents. In the group of a key every member is paired with the
+group's smallest (a star, not all pairs), and members far from that one with their closest partner. These pairs span families:
+all members that may be alike are in one. Where confirmed links don't join a whole family, its members outside the largest component
+are compared with all its members, sets in hand, in cells of bounded size that give back one link per component at most. Texts with
+equal sets are one member.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ PLACES = CHUNKS * WIDTH
 #: Of the first 50 places one bit each is carried beside a key; pairs of similarity 0.8 differ in 5 of them on average, in more than
 #: FAR with a probability under 1e-6.
 FAR = 18
-#: Members of a cell, at most about twice as many.
-CELL = 256
+#: Members of one side of a cell.
+CELL = 512
 
 _seeds = np.random.default_rng(7).integers(0, 1 << 64, (2, PLACES), dtype=U64)
 FACTOR, SHIFT = _seeds[0] | U64(1), _seeds[1]
@@ -130,34 +132,72 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iter
         yield rest
 
 
-def _cell_pairs(most: int):
-    """Of each cell the `most` closest partners in other components of every member, and whether there were more."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups(batches, ["key", "low", "high"]):
-            rep, comp, block = (group.column(c).to_numpy() for c in ("rep", "comp", "block"))
-            sketch, low, high = group.column("sketch").to_numpy(), group.column("low")[0].as_py(), group.column("high")[0].as_py()
-            one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell, for every member the closest partner that is not tied to the same hub."""
+    for group in _whole_groups(batches, ["key", "low", "high"]):
+        rep, tie, block, sketch = (group.column(c).to_numpy() for c in ("rep", "tie", "block", "sketch"))
+        one, two = np.flatnonzero(block == group.column("low")[0].as_py()), np.flatnonzero(block == group.column("high")[0].as_py())
+        if len(one) and len(two):
             apart = np.bitwise_count(sketch[one, None] ^ sketch[two]).astype(np.int16)
-            apart[(comp[one, None] == comp[two]) | (apart > FAR)] = 99
-            order = np.argsort(apart, axis=1, kind="stable")[:, :most]
-            i, j = np.nonzero(np.take_along_axis(apart, order, axis=1) < 99)
-            j = order[i, j]
-            more = ((apart < 99).sum(axis=1) > most)[i]
-            a, b = rep[one[i]], rep[two[j]]
-            yield pa.record_batch({"src": pa.array(np.maximum(a, b)), "dst": pa.array(np.minimum(a, b)), "more": pa.array(more)})
+            apart[tie[one, None] == tie[two]] = 99
+            found = {}
+            for i, j in ((np.arange(len(one)), apart.argmin(axis=1)), (apart.argmin(axis=0), np.arange(len(two)))):
+                close = apart[i, j] <= FAR
+                a, b = rep[one[i[close]]], rep[two[j[close]]]
+                found |= dict.fromkeys(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["src", "dst"])
+
+
+def _strays(members: DataFrame) -> DataFrame:
+    """Closest partners of members that are far from their group's hub. Groups are cut into blocks, pairs of blocks are cells."""
+    blocks = F.floor(F.col("n") / CELL).cast("int") + 1
+    laid = (members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "tie", "sketch"))
+    return (laid.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+            .mapInArrow(_closest, "src long, dst long").distinct())
+
+
+def _compare(percent: int):
+    """In each cell every stray with every member, by their sets: one link to each other component that it is alike to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, ["family", "row", "line"]):
+            stray, rep, comp = (group.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "rep", "comp"))
+            sets = [np.frombuffer(x, dtype=U64) for x in group.column("elements").to_pylist()]
+            ours, theirs = np.flatnonzero(stray), np.flatnonzero(~stray)
+            if not len(ours) or not len(theirs):
+                continue
+            sizes = np.array([len(sets[i]) for i in theirs])
+            joined, starts = np.concatenate([sets[i] for i in theirs]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            links: set[tuple[int, int]] = set()
+            for i in ours:
+                own = sets[i]
+                place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                both = np.add.reduceat((own[place] == joined).astype(np.int64), starts)
+                alike = (100 * both >= percent * (len(own) + sizes - both)) & (comp[theirs] != comp[i])
+                _, first = np.unique(comp[theirs[alike]], return_index=True)
+                links |= {(int(rep[i]), int(r)) for r in rep[theirs[alike]][first]}
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["src", "dst"])
     return run
 
 
-def _cells(members: DataFrame, most: int) -> DataFrame:
-    """`src, dst, more`: close pairs of different components. Groups are cut into blocks, pairs of blocks are the cells."""
-    blocks = F.greatest(F.lit(1), F.floor(F.col("n") / CELL)).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    laid = (members.withColumn("blocks", blocks).withColumn("block", block)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                    "block", "rep", "comp", "sketch"))
-    return (laid.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-            .mapInArrow(_cell_pairs(most), "src long, dst long, more boolean"))
+def _family_links(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links that join the components of a family: `nodes(rep, family, comp)`, staged. Cells are blocks of strays by blocks of members."""
+    sizes = nodes.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    whole = (sizes.groupBy("family").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main"))
+             .filter("n > 2 AND comps > 1")
+             .select("family", F.col("main.comp").alias("main"), (F.floor(F.col("n") / CELL) + 1).cast("int").alias("lines"),
+                     (F.floor((F.col("n") - F.col("main.n")) / CELL) + 1).cast("int").alias("rows")))
+    held = staged(nodes.join(whole, "family").join(full, "rep"), "families")
+    block = lambda count, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    members = held.select("family", every("rows").alias("row"), block("lines", 1).alias("line"), F.lit(False).alias("stray"), "rep", "comp", "elements")
+    strays = held.filter("comp <> main").select("family", block("rows", 2).alias("row"), every("lines").alias("line"), F.lit(True).alias("stray"),
+                                                "rep", "comp", "elements")
+    return (members.unionByName(strays).repartition("family", "row", "line").sortWithinPartitions("family", "row", "line")
+            .mapInArrow(_compare(percent), "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -185,8 +225,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
 
     stars = members.filter("close AND rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst"))
     loose = members.filter("n > 2 AND NOT close").select("key").distinct()
-    strays = _cells(members.join(loose, "key").withColumn("comp", F.when(F.col("close"), F.col("hub")).otherwise(F.col("rep"))), 1)
-    pairs = staged(stars.unionByName(strays.select("src", "dst")).distinct(), "pairs")
+    strays = _strays(members.join(loose, "key").withColumn("tie", F.when(F.col("close"), F.col("hub")).otherwise(F.col("rep"))))
+    pairs = staged(stars.unionByName(strays).distinct(), "pairs")
 
     nodes = pairs.select(F.col("src").alias("rep")).unionByName(pairs.select(F.col("dst").alias("rep"))).distinct()
     wanted = staged(classes.join(nodes, "rep").select("rep", "set_id", F.col("first.doc_id").alias("w_id")), "wanted")
@@ -194,23 +234,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     full = staged(texts.select("text").mapInArrow(_elements(words), "set_id binary, elements binary")
                   .join(wanted, "set_id").groupBy("rep").agg(F.first("elements").alias("elements")), "full")
 
-    def confirmed(some: DataFrame) -> DataFrame:
-        return staged(some.join(full.select(F.col("rep").alias("src"), F.col("elements").alias("left")), "src")
-                      .join(full.select(F.col("rep").alias("dst"), F.col("elements").alias("right")), "dst")
-                      .select("src", "dst", "left", "right").mapInArrow(_confirm(percent), "src long, dst long"), "links")
-
-    links, most = confirmed(pairs), 4
-    many = members.filter("n > 2").join(full.select("rep"), "rep", "left_semi")
-    while True:
-        labels = components(links)
-        at = many.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep"))
-        mixed = at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
-        found = staged(_cells(at.join(mixed, "key"), most), "open")
-        fresh = staged(found.select("src", "dst").distinct().join(pairs, ["src", "dst"], "left_anti"), "pairs")
-        truncated = not found.filter("more").isEmpty()
-        if not truncated and fresh.isEmpty():
-            break
-        links, pairs, most = links.unionByName(confirmed(fresh)), pairs.unionByName(fresh), most * 8
+    links = staged(pairs.join(full.select(F.col("rep").alias("src"), F.col("elements").alias("left")), "src")
+                   .join(full.select(F.col("rep").alias("dst"), F.col("elements").alias("right")), "dst")
+                   .select("src", "dst", "left", "right").mapInArrow(_confirm(percent), "src long, dst long"), "links")
+    families = components(pairs).select(F.col("id").alias("rep"), F.col("label").alias("family"))
+    nodes = families.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select(
+        "rep", "family", F.coalesce("label", "rep").alias("comp"))
+    labels = components(links.unionByName(_family_links(staged(nodes, "nodes"), full, percent)))
 
     whole = staged(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_id", "copies", "first", F.coalesce("label", "rep").alias("label")), "labelled")
