@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import exact, html, near, packing, pieces, token_output, toxic
+from scorelake.llm import exact, html, near, packing, pieces, simhash, token_output, toxic
 from scorelake.llm.common import table
 from scorelake.llm.registry import query
 
@@ -63,3 +63,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_text")
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_neighbours(simhash.fingerprint_documents(table(spark, sf_dir, "documents")))
