@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scorelake.llm import exact, html, near, packing, pieces, simhash, token_output, toxic
+from scorelake.llm import backoff, exact, html, near, packing, pieces, simhash, token_output, toxic, winnow
 from scorelake.llm.common import table
 from scorelake.llm.registry import query
 
@@ -68,3 +69,22 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_neighbours(simhash.fingerprint_documents(table(spark, sf_dir, "documents")))
+
+
+@query("op1_stupid_backoff")
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
