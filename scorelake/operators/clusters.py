@@ -34,15 +34,16 @@ def note_chunks(groups: DataFrame, beams: DataFrame) -> DataFrame:
     return groups.select("page_id", "ng", *box()).join(named, ["page_id", *Box._fields]).select("page_id", "ng", "chunk")
 
 
-def two_means(sizes: DataFrame, *, key: str = "page_id", value: str = "size", rounds: int = 20) -> DataFrame:
-    """Two cluster centers per page, started at the smallest and the largest value.
+def two_means(sizes: DataFrame, *, key: str = "page_id", value: str = "size") -> DataFrame:
+    """Two cluster centers per page, started at the smallest and the largest value, moved until neither moves.
 
-    Values are counted per page first; the counts of a page (bounded by its distinct pixel sizes)
-    are one array and the rounds are a fold over it.
+    Values are counted per page first; the counts of a page (bounded by its distinct pixel sizes) are one array and the
+    rounds are a fold over it. On a line the border between the two clusters never returns to a place, so that as many rounds as there are
+    values are enough; once settled, the rest of the fold passes the centers on.
     """
     counts = sizes.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     arrays = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"))
-    start = F.struct(F.col("h")[0]["v"].alias("lo"), F.element_at("h", -1)["v"].alias("hi"))
+    start = F.struct(F.col("h")[0]["v"].alias("lo"), F.element_at("h", -1)["v"].alias("hi"), F.lit(False).alias("settled"))
 
     def mean(rows, fallback):
         total = F.aggregate(rows, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, r: F.struct(
@@ -52,9 +53,10 @@ def two_means(sizes: DataFrame, *, key: str = "page_id", value: str = "size", ro
     def step(c, _):
         low = F.filter("h", lambda r: F.abs(r["v"] - c["lo"]) <= F.abs(r["v"] - c["hi"]))
         high = F.filter("h", lambda r: F.abs(r["v"] - c["lo"]) > F.abs(r["v"] - c["hi"]))
-        return F.struct(mean(low, c["lo"]).alias("lo"), mean(high, c["hi"]).alias("hi"))
+        lo, hi = mean(low, c["lo"]), mean(high, c["hi"])
+        return F.when(c["settled"], c).otherwise(F.struct(lo.alias("lo"), hi.alias("hi"), ((lo == c["lo"]) & (hi == c["hi"])).alias("settled")))
 
-    centers = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    centers = F.aggregate(F.sequence(F.lit(1), F.size("h") + 1), start, step)
     return arrays.select(key, F.explode(F.array(centers)).alias("c")).select(key, F.col("c.lo").alias("low_center"), F.col("c.hi").alias("high_center"))
 
 
@@ -66,11 +68,14 @@ def mark_ornaments(heads: DataFrame) -> DataFrame:
     return sized.join(centers, "page_id").withColumn("is_ornament", small).drop("size", "low_center", "high_center")
 
 
-def ward_labels(points: np.ndarray, limit: float) -> np.ndarray:
-    """Ward clusters of a few points: merge the closest pair until the distance exceeds the limit."""
+def ward_labels(points: np.ndarray, limit: float, copies: np.ndarray | None = None) -> np.ndarray:
+    """Ward clusters of a few points: merge the closest pair until the distance reaches the limit.
+
+    A point that stands for `copies` of itself is the cluster they make, which merge first at distance 0.
+    """
     n = len(points)
-    label, size = np.arange(n), np.ones(n)
-    d2 = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)
+    label, size = np.arange(n), np.ones(n) if copies is None else copies.astype(float)
+    d2 = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1) * (2 * size[:, None] * size / (size[:, None] + size))
     np.fill_diagonal(d2, np.inf)
     for _ in range(n - 1):
         i, j = divmod(int(d2.argmin()), n)
@@ -92,7 +97,7 @@ def ward_labels(points: np.ndarray, limit: float) -> np.ndarray:
 def merge_nearby(boxes: DataFrame, distance: float, *, x_factor: float = 1.0, y_factor: float = 1.0, max_group: int = 1024) -> DataFrame:
     """Union box of every cluster of nearby box centers of a page.
 
-    Copies of a center are one point. Pages with more than `max_group` centers are first cut at
+    Copies of a center are one point of their weight; equal distances merge in the order of the centers. Pages with more than `max_group` centers are first cut at
     empty strips wider than the distance, first across and then down, which clusters of near
     centers do not cross.
     """
@@ -102,7 +107,8 @@ def merge_nearby(boxes: DataFrame, distance: float, *, x_factor: float = 1.0, y_
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = ward_labels(pdf[["cx", "cy"]].to_numpy(dtype=float), distance)
+        pdf = pdf.sort_values(["cx", "cy"], ignore_index=True)
+        labels = ward_labels(pdf[["cx", "cy"]].to_numpy(dtype=float), distance, pdf["n"].to_numpy())
         out = pdf.assign(label=labels).groupby(["page_id", "label"], as_index=False).agg(
             x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"), n=("n", "sum"))
         return out[["page_id", "x0", "y0", "x1", "y1", "n"]]
@@ -123,7 +129,7 @@ def merge_nearby(boxes: DataFrame, distance: float, *, x_factor: float = 1.0, y_
         large = islands(large, keys=keys, segment="seg", order=order,
                         starts=F.col("before").isNull() | (F.col(axis) - F.col("before") > distance), name=name).drop("before")
         keys = [*keys, name]
-    return out.unionByName(large.groupBy(*keys).applyInPandas(lambda pdf: solve(pdf), schema))
+    return out.unionByName(large.groupBy(*keys).applyInPandas(solve, schema))
 
 
 def chord_flags(heads: DataFrame) -> DataFrame:

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from scorelake.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Label every node with the smallest node id of its component.
 
     `nodes(id)`, `edges(src, dst)` hold comparable ids. Each round takes the smallest neighbour
     label (combined before the shuffle) and then follows the label of that label, so path length
-    halves and long chains need few rounds.
+    halves and long chains need few rounds. It runs until no label moves.
     """
     both = cut_lineage(
         edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         .filter(F.col("src") != F.col("dst")).distinct())
     labels = cut_lineage(nodes.select("id", F.col("id").alias("label")).distinct())
-    for _ in range(max_rounds):
+    while True:
         near = (both.join(labels.withColumnRenamed("id", "dst"), "dst")
                 .groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near")))
         hooked = labels.join(near, "id", "left").select(
@@ -31,4 +31,3 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
         labels = stepped.select("id", F.col("next").alias("label"))
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -16,14 +16,17 @@ def _text(name: str):
 
 
 def elements(spark, sf):
-    """One element per slot of a bar; eighths and shorter are beamed by half bar."""
+    """One element per slot of a bar, as long as the shortest head of its chord (a rest only where no head sounds).
+
+    Eighths and shorter are beamed by half bar.
+    """
     rest = F.col("is_rest") == 1
     n = note_ticks(spark, sf).select(
         *BAR, F.col("slot").alias("elem_seq"), "ticks", rest.alias("is_rest"),
         F.when(rest, -1).when((F.col("rhythm") == 0), 0).otherwise(1 + F.floor(F.col("slot") % 4 / 2)).alias("group_id"),
         (F.col("pk") % 5 + 8).alias("beam_l"), (F.col("sk") % 5 + 8).alias("beam_r"), F.col("x1").alias("beam_x"),
         (F.col("y0") - F.col("h") % 9).alias("beam_y"), "ng")
-    first = n.groupBy(*BAR, "elem_seq").agg(F.min(F.struct("ng", "ticks", "is_rest", "group_id", "beam_l", "beam_r", "beam_x", "beam_y")).alias("e"))
+    first = n.groupBy(*BAR, "elem_seq").agg(F.min(F.struct("is_rest", "ticks", "ng", "group_id", "beam_l", "beam_r", "beam_x", "beam_y")).alias("e"))
     return first.select(*BAR, "elem_seq", "e.*").drop("ng").withColumn("ts_num", F.lit(2)).withColumn("ts_den", F.lit(4))
 
 

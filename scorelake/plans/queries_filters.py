@@ -11,6 +11,7 @@ from scorelake.plans.derived import load, with_views
 from scorelake.plans.queries_associate import CLOSEST, _full_staves
 from scorelake.plans.queries_bars import RANGES
 from scorelake.plans.queries_evaluate import _inputs
+from scorelake.plans.queries_evaluate import FOLD, PAIRS
 from scorelake.plans.registry import query
 
 RANGE = """gr AS (SELECT *, least(7, greatest(0, CAST(floor((y0 - 150) / 310) AS BIGINT))) AS s, 150 + 310 * least(7, greatest(0, CAST(floor((y0 - 150) / 310) AS BIGINT))) AS st FROM gt),
@@ -136,7 +137,28 @@ def ornament_marks(spark, sf):
     return clusters.mark_ornaments(load(spark, sf, "gt").select("page_id", "gt_seq", *box())).select("page_id", "gt_seq", "is_ornament")
 
 
-@query("mean_average_precision")
+def _map_sql(thresholds) -> str:
+    """Matches are folded anew for each threshold, and the precision envelopes summed per class."""
+    parts = []
+    for k, limit in enumerate(thresholds):
+        parts.append(f"""
+sa{k} AS (SELECT * FROM pr WHERE gc = pc AND iou >= {limit}),
+mt{k} AS (SELECT page_id, unnest(m) AS u FROM ({FOLD % dict(keys='page_id, gc', pairs=f'sa{k}')})),
+st{k} AS (SELECT d.class_id, d.conf_pct AS c, count(*) AS n, count(m.p) AS h FROM det d LEFT JOIN (SELECT page_id, u.p AS p FROM mt{k}) m
+  ON m.page_id = d.page_id AND m.p = d.det_seq GROUP BY 1, 2),
+cu{k} AS (SELECT *, sum(h) OVER w / sum(n) OVER w AS prec FROM st{k} WINDOW w AS (PARTITION BY class_id ORDER BY c DESC)),
+ap{k} AS (SELECT class_id, sum(env * h) AS area FROM (SELECT *, max(prec) OVER (PARTITION BY class_id ORDER BY c) AS env FROM cu{k}) GROUP BY 1)""")
+    areas = " UNION ALL ".join(f"SELECT class_id, {k} AS k, area FROM ap{k}" for k in range(len(thresholds)))
+    return PAIRS.split("same AS")[0] + ",".join(p.strip() for p in parts) + f""",
+al AS ({areas})
+SELECT class_id, CAST(round(coalesce(sum(area), 0) / {len(thresholds)} / n_gt * 1000000) AS BIGINT) AS map_millionths
+FROM (SELECT class_id, count(*) AS n_gt FROM gt GROUP BY 1) LEFT JOIN al USING (class_id) GROUP BY class_id, n_gt"""
+
+
+LEVELS = (0.5, 0.7, 0.9)
+
+
+@query("mean_average_precision", with_views("gt", "det", then=_map_sql(LEVELS)))
 def mean_average_precision(spark, sf):
     gt, pred = _inputs(spark, sf)
-    return evaluate.mean_average_precision(gt, pred, [0.5, 0.7, 0.9]).select("class_id", F.round(F.col("map") * 1000000).cast("long").alias("map_millionths"))
+    return evaluate.mean_average_precision(gt, pred, LEVELS).select("class_id", F.round(F.col("map") * 1000000).cast("long").alias("map_millionths"))

@@ -126,7 +126,21 @@ def staff_peaks(spark, sf):
     return profile.staff_line_peaks(_profile(spark, sf)).select("page_id", "zone", "grp", "line_no", "y", F.floor(F.col("z") * 1000).alias("z_1000"))
 
 
-@query("zone_fill")
+@query("zone_fill", with_views("staff", then="""
+ce AS (SELECT page_id, staff_index AS staff_row, zone, zone * 300 + 250 AS x, y_top + 2 * unit + zone * 2 AS y, unit, (page_id + zone) % 4 = 0 AS partial
+  FROM (SELECT *, unnest(range(0, 6)) AS zone FROM staff)),
+kn AS (SELECT * FROM ce WHERE NOT partial),
+og AS (SELECT * FROM ce WHERE partial AND (staff_row + page_id) % 8 <> 0),
+nr AS (SELECT m.page_id, m.staff_row, m.zone, k.zone AS kz, k.x AS kx, k.y AS ky, k.unit AS ku,
+  row_number() OVER (PARTITION BY m.page_id, m.staff_row, m.zone ORDER BY abs(k.zone - m.zone), k.zone) AS r
+  FROM (SELECT * FROM ce WHERE partial) m JOIN kn k ON k.page_id = m.page_id AND k.staff_row = m.staff_row),
+ab AS (SELECT a.*, b.kz AS bz, b.kx AS b_x, b.ky AS b_y FROM nr a LEFT JOIN nr b ON b.r = 2 AND b.page_id = a.page_id AND b.staff_row = a.staff_row AND b.zone = a.zone
+  WHERE a.r = 1),
+nx AS (SELECT ab.page_id, ab.staff_row, ab.zone, arg_min(struct_pack(x := og.x, y := og.y, unit := og.unit), og.y) AS o
+  FROM ab JOIN og ON og.page_id = ab.page_id AND og.zone = ab.zone AND abs(og.y - ab.ky) < ab.ku * 3 GROUP BY 1, 2, 3)""") + """
+SELECT page_id, staff_row, zone, x::DOUBLE AS x_center, y::DOUBLE AS y_center, unit::DOUBLE AS unit, false AS is_interpolated FROM kn UNION ALL
+SELECT page_id, staff_row, zone, coalesce(o.x, kx + (b_x - kx) * ((zone - kz) / (bz - kz)), kx)::DOUBLE, coalesce(o.y, ky + (b_y - ky) * ((zone - kz) / (bz - kz)), ky)::DOUBLE,
+  coalesce(o.unit, ku)::DOUBLE, o IS NULL FROM ab LEFT JOIN nx USING (page_id, staff_row, zone)""")
 def zone_fill(spark, sf):
     cells = staves(spark, sf).withColumn("zone", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("x_center", F.col("zone") * 300 + 250)
     cells = cells.withColumn("y_center", F.col("center_y") + F.col("zone") * 2).select("page_id", F.col("staff_index").alias("staff_row"), "zone", "x_center", "y_center", "unit")

@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -32,17 +33,22 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize `df` in the reliable checkpoint folder of the cluster.
 
-    The folder is `spark.checkpoint.dir`; a private one is set only where the cluster names none
-    (tests, a single machine). Reliable checkpoints survive the loss of executors.
+    The folder is `spark.checkpoint.dir`. Only a local session may go without it and gets a private one; elsewhere
+    executors could not share that, so it is an error. Reliable checkpoints survive the loss of executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _private_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
+def _private_folder(spark: SparkSession, name: str) -> str:
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"spark-{name}-")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers once, for the few operators that run Python in tasks."""
     context = spark.sparkContext
@@ -60,4 +66,4 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-")
+    return _private_folder(spark, name)
