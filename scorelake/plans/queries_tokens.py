@@ -51,14 +51,14 @@ RHYTHM = """CASE WHEN symbol LIKE 'note%' THEN 'note-' || replace(replace(split_
 @query("token_split", with_views("li", then=BASE) + f"""
 SELECT line_id, pos, sub_pos, {RHYTHM} AS rhythm, pitch, CASE WHEN visible IS NULL THEN 'nonote' WHEN visible = '#' THEN 'lift_#' WHEN visible = 'b' THEN 'lift_b' WHEN visible = '0' THEN 'lift_N' ELSE 'lift_null' END AS lift FROM s4""")
 def token_split(spark, sf):
-    out = T.symbol_streams(T.split_lines(lines(spark, sf)))
+    out = T.symbol_streams(lines(spark, sf))
     return out.select("line_id", F.col("pos").cast("long").alias("pos"), F.col("sub_pos").cast("long").alias("sub_pos"), "rhythm", "pitch", "lift")
 
 
 @query("visible_accidentals", with_views("li", then=BASE) + """
 SELECT coalesce(visible, '-') AS visible, alter_ AS alter, count(*) AS n FROM s4 WHERE alter_ IS NOT NULL GROUP BY 1, 2""")
 def visible_accidentals(spark, sf):
-    out = T.visible_accidentals(T.split_lines(lines(spark, sf))).filter("alter IS NOT NULL")
+    out = T.visible_accidentals(lines(spark, sf)).filter("alter IS NOT NULL")
     return out.groupBy("visible", "alter").agg(F.count("*").alias("n"))
 
 
@@ -66,7 +66,7 @@ def visible_accidentals(spark, sf):
 p AS (SELECT line_id, pos, sub_pos, CASE WHEN symbol LIKE 'note%' THEN replace(replace(split_part(symbol, '_', 1), '#', ''), 'b', '') || replace(visible, '0', 'N') || '_' || split_part(symbol, '_', 2) ELSE symbol END AS t FROM s4),
 c AS (SELECT line_id, pos, string_agg(t, '|' ORDER BY sub_pos) AS t FROM p GROUP BY 1, 2)""") + "SELECT line_id, string_agg(t, '+' ORDER BY pos) AS text FROM c GROUP BY 1")
 def print_accidentals(spark, sf):
-    return T.print_accidentals(T.split_lines(lines(spark, sf)))
+    return T.print_accidentals(lines(spark, sf))
 
 
 SORTKEY = "-(strpos('CDEFGAB', pitch[6]) - 1 + 7 * pitch[7]::INT)"
@@ -75,7 +75,7 @@ SORTKEY = "-(strpos('CDEFGAB', pitch[6]) - 1 + 7 * pitch[7]::INT)"
 @query("chord_order", with_views("li", then=BASE) + f"""
 SELECT line_id, pos, sub_pos, row_number() OVER (PARTITION BY line_id, pos ORDER BY CASE WHEN pitch = 'nonote' THEN 1000 ELSE {SORTKEY} END, sub_pos) - 1 AS chord_pos FROM s4""")
 def chord_order(spark, sf):
-    out = T.symbol_streams(T.split_lines(lines(spark, sf)))
+    out = T.symbol_streams(lines(spark, sf))
     return out.select("line_id", F.col("pos").cast("long").alias("pos"), F.col("sub_pos").cast("long").alias("sub_pos"), F.col("chord_pos").cast("long").alias("chord_pos"))
 
 
@@ -85,7 +85,7 @@ m AS (SELECT line_id, pos, CASE WHEN pitch = 'nonote' THEN {RHYTHM} ELSE pitch |
 SELECT line_id, string_agg(t, '+' ORDER BY pos) AS text FROM c GROUP BY 1""")
 def token_merge(spark, sf):
     """Streams with `|` between the notes of a chord, merged back to one string per line."""
-    s = T.symbol_streams(T.split_lines(lines(spark, sf)))
+    s = T.symbol_streams(lines(spark, sf))
     base = F.col("pos") * 100 + F.col("chord_pos") * 2
     bars = s.filter("chord_pos > 0").select("line_id", (base - 1).alias("seq"), F.lit("|").alias("rhythm"), F.lit("nonote").alias("pitch"), F.lit("nonote").alias("lift"))
     return T.merge_streams(s.select("line_id", base.alias("seq"), "rhythm", "pitch", "lift").unionByName(bars))
