@@ -77,6 +77,20 @@ class Grams:
         return sums[self.at[1:]] - sums[self.at[:-1]]
 
 
+def packed(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as their differences, each in as few bytes as the largest needs."""
+    steps = np.diff(ascending, prepend=ALL)
+    width = max((int(steps.max()).bit_length() + 7) // 8, 1)
+    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(steps), 8), dtype=np.uint8)
+    wide[:, :data[0]] = steps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=U64)
+
+
 def _requests(order: int, parts: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -87,7 +101,7 @@ def _requests(order: int, parts: int, size: int):
             chosen = [places[cuts[p]:cuts[p + 1]] for p in used]
             yield pa.record_batch({
                 "part": pa.array(used.astype(np.int32)), "slice": pa.array([first + k] * len(used), pa.int64()),
-                "grams": pa.array([grams.distinct[c].tobytes() for c in chosen], pa.binary()),
+                "grams": pa.array([packed(grams.distinct[c]) for c in chosen], pa.binary()),
                 "counts": pa.array([zlib.compress(grams.counts[c].astype("<u4").tobytes(), 1) for c in chosen], pa.binary())})
     return run
 
@@ -96,12 +110,19 @@ def _slices(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(slices(batches, "text", size)):
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            yield pa.record_batch({"slice": pa.array([first + k]), "part": pa.array([-1], pa.int32()), "blob": pa.array([None], pa.binary()),
-                                   "doc_ids": pa.array([ids], pa.list_(pa.int64())), "texts": pa.array([texts], pa.list_(pa.string()))})
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({
+                "slice": pa.array([first + k]), "part": pa.array([-1], pa.int32()), "blob": pa.array([zlib.compress(b"".join(texts), 1)], pa.binary()),
+                "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                "sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))})
     return run
 
 
+def _texts(row: dict) -> pa.Array:
+    data, ends = zlib.decompress(row["blob"]), np.cumsum([0, *row["sizes"]]).tolist()
+    return pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Lists of rows with an equal key from a stream sorted by it."""
     held: list[dict] = []
@@ -119,7 +140,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The count table of each part, joined to what each slice asked for."""
     for rows in _groups(batches, "part"):
-        asked = [np.frombuffer(r["grams"], dtype=U64) for r in rows]
+        asked = [unpacked(r["grams"]) for r in rows]
         counts = [np.frombuffer(zlib.decompress(r["counts"]), dtype="<u4") for r in rows]
         _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(inverse, weights=np.concatenate(counts)).astype("<u8")[inverse]
@@ -135,12 +156,12 @@ def _scored(order: int, parts: int):
         for rows in _groups(batches, "slice"):
             blobs = {r["part"]: r["blob"] for r in rows if r["part"] >= 0}
             texts = next(r for r in rows if r["part"] < 0)
-            grams = Grams(pa.array(texts["texts"], pa.string()), order)
+            grams = Grams(_texts(texts), order)
             places, cuts = grams.parts(parts)
             totals = np.zeros(len(grams.distinct), dtype=np.int64)
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = places[cuts[p]:cuts[p + 1]]
-                if zlib.crc32(grams.distinct[mine].tobytes()) != int.from_bytes(blobs[p][:4], "little"):
+                if zlib.crc32(packed(grams.distinct[mine])) != int.from_bytes(blobs[p][:4], "little"):
                     raise ValueError("the input gave other rows when it was read again; stage it first")
                 totals[mine] = np.frombuffer(zlib.decompress(blobs[p][4:]), dtype="<u8")
             sizes, sums = np.diff(grams.at), grams.scores(totals)
@@ -163,7 +184,7 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, slice_bytes: int = S
     parts = size // part_bytes + 1
     asked = rows.mapInArrow(_requests(order, parts, slice_bytes), "part int, slice long, grams binary, counts binary")
     answers = asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answers, "slice long, part int, blob binary")
-    texts = rows.mapInArrow(_slices(slice_bytes), "slice long, part int, blob binary, doc_ids array<long>, texts array<string>")
+    texts = rows.mapInArrow(_slices(slice_bytes), "slice long, part int, blob binary, doc_ids array<long>, sizes array<long>")
     both = texts.unionByName(answers, allowMissingColumns=True)
     return both.repartition("slice").sortWithinPartitions("slice").mapInArrow(
         _scored(order, parts), "doc_id long, n_words long, log_score double, per_word double")
