@@ -49,9 +49,9 @@ STAFF = """SELECT page_id, staff_index, CAST(floor(staff_index / 4) AS BIGINT) A
 
 CURVE = """SELECT page_id, ng AS candidate_id, staff_index, unit, x0 + 6 + (qty % 9 - 4) AS left_x, y0 - 10 AS left_y,
   x0 + 6 + (qty % 9 - 4) + 100 * (1 + h % 2) + sk % 7 AS right_x, y0 - 10 + (sk % 5) * 8 AS right_y, 60 + h % 40 AS conf_pct,
-  CASE WHEN h % 3 = 0 THEN 'below' ELSE 'above' END AS curve_direction FROM note WHERE pk % 4 = 0"""
+  CASE WHEN h % 3 = 0 THEN 'below' ELSE 'above' END AS curve_direction FROM note"""
 
-CURVE_COLUMN = """SELECT page_id, uid AS component, px, py, h, pk, 12 + h % 16 AS n, {unnest28} AS i FROM ob WHERE (pk + sk) % 5 = 0"""
+CURVE_COLUMN = """SELECT page_id, uid AS component, px, py, h, pk, 12 + h % 16 AS n, {unnest28} AS i FROM ob"""
 
 CURVE_PIXEL = """SELECT page_id, component, px + i AS x,
   py + CAST(floor((3 + pk % 9) * 4 * i * (n - 1 - i) / (n * n)) AS BIGINT) + (i * pk) % 2 + j AS y
@@ -59,7 +59,7 @@ CURVE_PIXEL = """SELECT page_id, component, px + i AS x,
 
 LETTER = """SELECT page_id, ng * 2 + j AS cand_seq, staff_index, unit, substr('pmfszr', CAST((qty + j * sk) % 6 + 1 AS INT), 1) AS letter,
   x0 + j * 14 AS x0, 150 + 310 * staff_index + 5 * unit + sk % 9 AS y0, x0 + j * 14 + 12 AS x1, 150 + 310 * staff_index + 6 * unit + sk % 9 AS y1,
-  40 + h % 60 AS conf_pct FROM (SELECT *, {unnest2} AS j FROM note WHERE pk % 3 = 0)"""
+  40 + h % 60 AS conf_pct FROM (SELECT *, {unnest2} AS j FROM note)"""
 
 VIEWS = {"li": LINE, "ob": OBJECT, "dc": COPY, "det": DET, "gt": GT, "nb": NOTE_BASE, "note": NOTE, "page": PAGE,
          "curve": CURVE}

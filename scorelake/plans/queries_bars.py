@@ -121,12 +121,12 @@ def bar_audit(spark, sf):
 
 
 @query("empty_bars", with_views("page", "note", then=TS + """,
-us AS (SELECT DISTINCT CAST(floor(page_id / 20) AS BIGINT) AS piece, page_id % 20 * 8 + bar_in_line AS bar_no FROM note WHERE pk % 40 = 0),
+us AS (SELECT DISTINCT CAST(floor(page_id / 20) AS BIGINT) AS piece, page_id % 20 * 8 + bar_in_line AS bar_no FROM note),
 ab AS (SELECT DISTINCT piece, page_id % 20 * 8 + bar_no AS bar_no FROM pb)""") + """
 SELECT piece, bar_no, row_number() OVER (PARTITION BY piece ORDER BY bar_no) - 1 AS new_bar_no FROM ab SEMI JOIN us USING (piece, bar_no)""")
 def empty_bars(spark, sf):
     all_bars = _page_bars(spark, sf).select("piece", (F.col("page_id") % 20 * 8 + F.col("bar_no")).alias("bar_no"))
-    used = load(spark, sf, "note").filter("pk % 40 = 0").select(
+    used = load(spark, sf, "note").select(
         F.floor(F.col("page_id") / 20).alias("piece"), (F.col("page_id") % 20 * 8 + F.col("bar_in_line")).alias("bar_no"))
     return bars.drop_empty_bars(all_bars, used)
 

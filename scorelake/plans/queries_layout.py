@@ -52,12 +52,12 @@ def rest_absorption(spark, sf):
 
 
 @query("overlap_drop", with_views("note", then=ACC + """,
-c AS (SELECT DISTINCT page_id, x0 - 30 AS x0, y0 AS y0, x0 - 8 AS x1, y1 AS y1 FROM note WHERE is_rest = 0 AND h % 4 = 0),
+c AS (SELECT DISTINCT page_id, x0 - 30 AS x0, y0 AS y0, x0 - 8 AS x1, y1 AS y1 FROM note WHERE is_rest = 0),
 cv AS (SELECT a.page_id, a.acc_id, sum(greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0))) AS s,
   max((a.x1 - a.x0) * (a.y1 - a.y0)) AS area FROM ac a JOIN c ON c.page_id = a.page_id GROUP BY 1, 2)""") + """
 SELECT page_id, acc_id FROM ac ANTI JOIN (SELECT page_id, acc_id FROM cv WHERE 2 * s > area) USING (page_id, acc_id)""")
 def overlap_drop(spark, sf):
-    covers = load(spark, sf, "note").filter("is_rest = 0 AND h % 4 = 0").select(
+    covers = load(spark, sf, "note").filter("is_rest = 0").select(
         "page_id", (F.col("x0") - 30).alias("x0"), "y0", (F.col("x0") - 8).alias("x1"), "y1")
     return attach.drop_covered_by(_accidentals(spark, sf), covers, id_col="acc_id").select("page_id", "acc_id")
 
