@@ -208,15 +208,16 @@ def staff_of_note(closest: DataFrame) -> Column:
 def reassign_groups(groups: DataFrame, ranges: DataFrame) -> DataFrame:
     """Staff of a group whose top or bottom edge lies in one staff range and in no neighbouring one.
 
-    `ranges(page_id, staff_index, range_top, range_bottom, next_top, prev_bottom)`; distinct staff ranges of a
-    page are few and bounded by its height. Other groups keep their staff.
+    `ranges(page_id, staff_index, range_top, range_bottom, next_top, prev_bottom)`. Distinct ranges and distinct edges of a
+    page are compared, which its height bounds. Other groups keep their staff.
     """
-    r = ranges.select("page_id", F.col("staff_index").alias("r_staff"), "range_top", "range_bottom", "next_top", "prev_bottom")
+    r = ranges.select("page_id", F.col("staff_index").alias("r_staff"), "range_top", "range_bottom", "next_top", "prev_bottom").distinct()
     edge = lambda c: F.col(c).between(F.col("range_top"), F.col("range_bottom"))
     fits = ((edge("y0") | edge("y1")) & (F.col("next_top").isNull() | (F.col("y1") < F.col("next_top")))
             & (F.col("prev_bottom").isNull() | (F.col("y0") > F.col("prev_bottom"))))
-    hit = groups.join(r, "page_id").filter(fits).groupBy("page_id", "ng").agg(F.max("r_staff").alias("new_staff"))
-    return groups.join(hit, ["page_id", "ng"], "left").withColumn("staff_index", F.coalesce("new_staff", "staff_index")).drop("new_staff")
+    edges = groups.select("page_id", "y0", "y1").distinct()
+    hit = edges.join(r, "page_id").filter(fits).groupBy("page_id", "y0", "y1").agg(F.max("r_staff").alias("new_staff"))
+    return groups.join(hit, ["page_id", "y0", "y1"], "left").select(groups.columns + ["new_staff"]).withColumn("staff_index", F.coalesce("new_staff", "staff_index")).drop("new_staff")
 
 
 def bar_elements_only(groups: DataFrame) -> DataFrame:

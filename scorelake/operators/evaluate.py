@@ -59,10 +59,14 @@ def _match_rows(gt: DataFrame, pred: DataFrame, iou_threshold: float, same_class
 
 
 def _members(rows: DataFrame, seq: str, group: str, page: str) -> DataFrame:
-    """Rows with the id of their group of copies and their rank in it, larger sequence first."""
+    """Rows with the id of their group of copies and their rank in it, larger sequence first.
+
+    Ids may be sparse: a segment of the ranking is a share of the group's own range of ids that holds about 4096 rows.
+    """
     key = [page, "class_id", *Box._fields]
-    groups = rows.groupBy(*key).agg(F.min(seq).alias(group))
-    ranked = row_number(rows.join(groups, key).withColumn("down", -F.col(seq)).withColumn("seg", F.floor(F.col("down") / 4096)),
+    groups = rows.groupBy(*key).agg(F.min(seq).alias(group), F.max(seq).alias("top"), F.count("*").alias("copies"))
+    share = (F.col("top") - F.col(seq)) / (F.col("top") - F.col(group) + 1)
+    ranked = row_number(rows.join(groups, key).withColumn("down", -F.col(seq)).withColumn("seg", F.floor(share * (F.floor(F.col("copies") / 4096) + 1))),
                         keys=[page, group], segment="seg", order=["down"], name="rank")
     return cut_lineage(ranked.select(*key, group, F.col(seq).alias("member"), "rank"))
 
