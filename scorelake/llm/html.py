@@ -35,11 +35,11 @@ BLOCK = {"html", "head", "body", "address", "article", "aside", "blockquote", "c
          "pre", "search", "section", "select", "summary", "table", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "ul", "button", "option", "optgroup"}
 AWAY_TAGS = {"nav", "aside", "footer", "header", "form", "menu", "dialog", "select", "button", "head", "search", "fieldset", "option", "optgroup"}
 MAIN_TAGS = {"article", "main"}
-AWAY_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments",
+AWAY_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
               "consent", "cookie", "cookies", "copyright", "disqus", "footer", "form", "gdpr", "header", "legal", "links", "login", "masthead", "menu", "modal",
               "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "privacy", "promo", "promoted", "promotion",
               "recommended", "related", "replies", "reply", "respond", "reviews", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor",
-              "sponsored", "subscribe", "tags", "toolbar", "topbar", "trending", "warning", "widget", "widgets", "alert", "disclaimer", "discussion", "feedback"}
+              "sponsored", "subscribe", "toolbar", "topbar", "trending", "warning", "widget", "widgets", "alert", "disclaimer", "discussion", "feedback"}
 MAIN_WORDS = {"article", "articlebody", "content", "entry", "main", "post", "story", "prose"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "note"}
 MAIN_ROLES = {"main", "article"}
@@ -79,7 +79,7 @@ def kind_of(tag: str, attributes: str) -> str:
                     return "main"
             elif name in ("class", "id"):
                 words |= set(_WORD.findall(_SPLIT.sub(" ", value).lower()))
-        if tag in AWAY_TAGS or (words & AWAY_WORDS and tag != "body"):
+        if tag in AWAY_TAGS or (words & AWAY_WORDS and tag not in ("body", "html")):
             return "away"
         if tag in MAIN_TAGS or words & MAIN_WORDS and tag not in ("body", "html", "p"):
             return "main"

@@ -26,6 +26,24 @@ def test_documents(documents, awkward, nothing):
     assert simhash.with_neighbours(simhash.fingerprint_documents(nothing)).collect() == []
 
 
+def test_many_ranges(spark):
+    """Followers across the borders of ranges, some of them empty."""
+    docs = spark.createDataFrame([(i * i, f"word{i} " * (i % 7) + "x" * (i % 11)) for i in range(61)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {r["doc_id"]: r for r in simhash.fingerprint_documents(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = sorted(docs.collect(), key=lambda r: -r["doc_id"])
+    assert len(got) == 61
+    for r, after in zip(rows, rows[1:] + rows[:1]):
+        assert got[r["doc_id"]]["edited_sha256"] == hashlib.sha256(simhash.edited(r["text"], after["text"]).encode()).hexdigest()
+        a, b = (np.frombuffer(bytes.fromhex(got[x["doc_id"]]["fingerprint"]), dtype=np.uint8)[None] for x in (r, after))
+        assert got[r["doc_id"]]["near_next"] == simhash.likeness(a, b)[0]
+
+
 def test_likeness_follows_the_edit(documents):
     got = [r for r in simhash.fingerprint_documents(documents).collect() if r["n_chars"] > 600]
     assert np.mean([r["near_edited"] for r in got]) > 0.5 > 0.3 > np.mean([r["near_next"] for r in got])
