@@ -80,11 +80,26 @@ def join_copies(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
 def components(edges: DataFrame) -> DataFrame:
     """`id, label` for every node of `edges(src, dst)`; the label is the smallest id reachable.
 
-    Each round takes the smallest label among the neighbours (combined before the shuffle) and then
-    the label of that label, so that long chains need few rounds. It runs until nothing moves.
+    Stars are folded first: every node goes to the smallest of its neighbours' neighbours below it, and only edges between different such
+    nodes are left, few where groups hang on hubs. On these, each round takes the smallest label among the neighbours (combined
+    before the shuffle) and then the label of that label, so that long chains need few rounds, until nothing moves.
     """
-    both = staged(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-                  .distinct(), "edges")
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = staged(both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("near")), "near")
+    below = near.select(F.col("id").alias("near"), F.col("near").alias("below"))
+    start = staged(near.join(below, "near").select("id", F.col("below").alias("top")), "tops")
+    left = edges.join(start.select(F.col("id").alias("src"), F.col("top").alias("a")), "src")
+    left = left.join(start.select(F.col("id").alias("dst"), F.col("top").alias("b")), "dst").filter("a <> b")
+    rest = staged(left.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct(), "edges")
+    if rest.isEmpty():
+        return start.select("id", F.col("top").alias("label"))
+    labels = _settled(rest)
+    return staged(start.join(labels.withColumnRenamed("id", "top"), "top", "left").select("id", F.coalesce("label", "top").alias("label")), "labels")
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """Labels of the nodes of staged, distinct `edges`."""
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     labels = staged(both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("label")), "labels")
     while True:
         near = (both.join(labels.select(F.col("id").alias("dst"), "label"), "dst")
