@@ -113,7 +113,7 @@ class PieceEncoder:
                     x, limit = self.parts[x][1], rx
                 else:  # of equal pairs the left one is merged first, so that one across the border comes before this
                     y, limit = self.parts[y][0], ry + 1
-            if len(self._fits) >= 1 << 20:
+            if len(self._fits) >= 1 << 19:
                 self._fits.clear()
             self._fits[left, right] = known
         return known

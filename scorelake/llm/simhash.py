@@ -147,11 +147,15 @@ def near_fingerprints(prints: DataFrame, queries: DataFrame, *, radius: int = RA
         raise ValueError(f"{BLOCKS} blocks find radii below {BLOCKS}")
     tables = []
     for df, name in ((queries, "query"), (prints, "fingerprint")):
-        distinct = df.select(F.col("fingerprint").alias(name)).dropna().distinct().withColumn(f"{name}_blocks", _blocks(name))
-        tables.append(distinct.select(name, f"{name}_blocks", F.posexplode(f"{name}_blocks").alias("slot", "block")))
-    first = F.array_position(F.zip_with("query_blocks", "fingerprint_blocks", lambda a, b: a == b), True)
-    apart = F.aggregate(F.zip_with("query_blocks", "fingerprint_blocks", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return (tables[0].join(tables[1], ["slot", "block"]).filter(first == F.col("slot") + 1)
+        distinct = df.select("fingerprint").dropna().distinct()
+        cut = distinct.select(F.unhex("fingerprint").alias(name), F.posexplode(_blocks("fingerprint")).alias("slot", "block"))
+        tables.append(cut.select(name, (F.col("slot").cast("long") * (1 << 32) + F.col("block")).alias("key")))
+    found = tables[0].join(tables[1], "key").select(
+        F.lower(F.hex("query")).alias("query"), F.lower(F.hex("fingerprint")).alias("fingerprint"), F.floor(F.col("key") / (1 << 32)).alias("slot"))
+    found = found.select("*", _blocks("query").alias("a"), _blocks("fingerprint").alias("b"))
+    first = F.array_position(F.zip_with("a", "b", lambda x, y: x == y), True)
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (found.filter(first == F.col("slot") + 1)
             .select("query", "fingerprint", apart.alias("apart")).filter(F.col("apart") <= radius))
 
 
