@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]"
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is in memory several times over.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; sets the session's Arrow batches to BATCH_ROWS, which bounds the memory of Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,7 +54,7 @@ def with_uid(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, F.monotonically_increasing_id().alias("uid"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about `most` bytes of `column`, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -24,7 +24,7 @@ from scorelake.session import ship_package
 
 MARK = "▁"
 #: Words held at once, then the table starts anew; longer words are never held.
-WORDS, LONGEST = 1 << 18, 40
+WORDS, LONGEST = 1 << 17, 40
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 

@@ -54,7 +54,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     filled = offsets[1:] > offsets[:-1]
     first[offsets[:-1][filled]] = last[offsets[1:][filled] - 1] = True
     start, end = np.flatnonzero(black & first), np.flatnonzero(black & last) + 1
-    up, down = powers(max(20, int(len(data)).bit_length()))
+    up, down = powers(max(18, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum(BYTE[LOWER[data]] * up[:len(data)], out=total[1:])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * RIGHT)

@@ -13,7 +13,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A text in which each space has other text on both sides can be cut before its spaces, as no token crosses such a place.
 _PLAIN = re.compile(r" (?=\s|\Z)")
 #: Words held at once, then the table starts anew; longer words are never held.
-WORDS, LONGEST = 1 << 18, 40
+WORDS, LONGEST = 1 << 17, 40
 
 
 class Encoder:

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -341,8 +342,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _kept(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = model.lookup()
-        for batch in slices(batches, "r_text"):
-            found = np.clip(margins([t or "" for t in batch.column("r_text").to_pylist()], model, numbers), FLOOR, CEILING)
+        rows = (pa.record_batch({"row": b.column("row"), "text": pc.struct_field(b.column("row"), "text")}) for b in batches)
+        for batch in slices(rows, "text"):
+            found = np.clip(margins([t or "" for t in batch.column("text").to_pylist()], model, numbers), FLOOR, CEILING)
             good = 1 / (1 + np.exp(-(found * model.slope + model.shift))) < THRESHOLD
             yield pa.RecordBatch.from_arrays([batch.column("row")], names=["row"]).filter(pa.array(good))
     return run
@@ -354,5 +356,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     if model is None:
         return docs
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("r_text"))
-    return rows.mapInArrow(_kept(model), rows.select("row").schema).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(_kept(model), rows.schema).select("row.*")
