@@ -3,12 +3,15 @@
 Two strings are alike as they share subsequences of three characters, each weighted by DECAY to the power of the span it takes, spans
 up to SPAN, scaled by the strings' lengths; so an insult with inserted or left-out characters stays close to itself. Strings are
 stretches of a sentence: the first characters of their subsequences lie within WINDOW places of one word; letters that stand
-alone in a row ("i d i o t", "i.d.i.o.t") count as one word. A sentence is as toxic as its worst stretch, a document as its worst sentence.
+alone in a row ("i d i o t", "i.d.i.o.t") count as one word. A sentence is as toxic as its worst stretch, a document as its worst sentence
+or as the number of its weak stretches makes it.
 
 Labels mark documents, so the stretches that carry the label are found first: words with a character 4-gram that toxic documents of the
 sample have far more often, where near copies together count as one document. Landmarks are taken from these and from
 clean words, the kernel against them is whitened (Nyström), and a linear machine with squared hinge loss is trained on it. Then
 clean words that it takes for toxic join the training, and its margin is calibrated on the sample's documents.
+Words that clean texts have too, only far less often, are weak evidence: beginnings of words that toxic documents of one language
+repeat. A second machine of the same kind learns these, and the words it finds in a document, beyond what a clean one of its length has, add to the score.
 As the kernel is a product of explicit features, the machine folds into one weight for each triple of characters: scoring reads every
 character of every whole text, in NumPy, and ships only that table.
 """
@@ -35,6 +38,11 @@ SAMPLE, WORDS, CLEAN_WORDS, LANDMARKS = 8000, 3000, 40000, 160
 #: A 4-gram marks toxic words if it is in MARK_DOCS toxic documents, in MARK_SHARE of them, and MARK_RATIO times as frequent there as in
 #: clean ones.
 MARK_DOCS, MARK_SHARE, MARK_RATIO = 3.5, 0.02, 40.0
+#: The beginning of a word is weak evidence if, in one language, it is in WEAK_DOCS toxic documents, in WEAK_SHARE of them, and WEAK_RATIO
+#: times as frequent there as in clean ones; a document counts up to WEAK_MOST of its words. Excess is cut to EXCESS.
+WEAK_DOCS, WEAK_SHARE, WEAK_RATIO, WEAK_MOST, HEADS, EXCESS = 5.0, 0.25, 5.0, 8, (3, 4, 5, 6), 6.0
+#: Margins from which the weak machine may take a word; that with the best fit to the sample's documents is used.
+LEAST = (0.0, 0.25, 0.5, 0.75, 1.0, 1.25)
 THRESHOLD = 0.3
 #: Letters the weights tell apart, the most frequent of the landmarks; 0 stands for all others, which only fill gaps.
 LETTERS = 96
@@ -62,6 +70,12 @@ class Model:
     bias: float
     slope: float
     shift: float
+    #: Machine of weak stretches, the margin from which it takes a word, the share of words of clean documents that it takes, and the weight
+    #: of what a text has beyond.
+    weak: Model | None = None
+    least: float = 0.0
+    rate: float = 0.0
+    extra: float = 0.0
 
     def lookup(self) -> np.ndarray:
         return letter_numbers(self.letters)
@@ -101,6 +115,31 @@ def spelled_together(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
 
 def margins(texts: list[str], model: Model, numbers: np.ndarray) -> np.ndarray:
     """The largest margin of any stretch of each text; NOTHING for texts without words."""
+    value, _, starts = stretch_margins(texts, model, numbers)
+    return np.maximum.reduceat(value, starts[:-1]) if len(texts) else value
+
+
+def excess(texts: list[str], model: Model, numbers: np.ndarray) -> np.ndarray:
+    """By how many standard deviations the words of each text that the weak machine takes are more than in a clean text, 0 to EXCESS."""
+    if model.weak is None or not texts:
+        return np.zeros(len(texts))
+    words, found = weak_counts(texts, model.weak, numbers, (model.least,))
+    return beyond(words, found[0], model.rate)
+
+
+def beyond(words: np.ndarray, found: np.ndarray, rate: float) -> np.ndarray:
+    return np.clip((found - words * rate) / np.sqrt(words * rate + 1), 0, EXCESS)
+
+
+def weak_counts(texts: list[str], weak: Model, numbers: np.ndarray, least: tuple[float, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of words of each text, and for each of `least` of those whose beginning has a larger margin."""
+    value, blank, starts = stretch_margins(texts, weak, numbers)
+    begin = ~blank & np.concatenate([[True], blank[:-1]])
+    return np.add.reduceat(begin.astype(np.int64), starts[:-1]), [np.add.reduceat((begin & (value > v)).astype(np.int64), starts[:-1]) for v in least]
+
+
+def stretch_margins(texts: list[str], model: Model, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The margin of the stretch that begins at each character, which characters are blanks, and where each text begins."""
     points, starts = spelled_together(*code_points(texts))
     n, size = len(points), LETTERS + 1
     c = numbers[points].astype(np.int32)
@@ -121,7 +160,7 @@ def margins(texts: list[str], model: Model, numbers: np.ndarray) -> np.ndarray:
     at = np.arange(n)
     rest = (np.repeat(ends, np.diff(ends, prepend=-1)) if n else at) - at
     value = np.where(blank, NOTHING, (sums[at + np.minimum(rest, WINDOW)] - sums[:n]) / length_norm(rest) + model.bias)
-    return np.maximum.reduceat(value, starts[:-1]) if len(texts) else value
+    return value, blank, starts
 
 
 def triples(strings: list[str], numbers: np.ndarray) -> list[dict[int, float]]:
@@ -235,6 +274,32 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                    "good": pa.array([weight * (1 - toxic)] * len(found), pa.float64())})
 
 
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words of toxic and of clean texts of a slice begin with each string, by language, up to WEAK_MOST in a text."""
+    for batch in slices(batches, "text"):
+        found: dict[tuple[str, str], list[float]] = {}
+        for text, lang, toxic, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "toxic", "weight"))):
+            for head, n in Counter(w[:k] for w in text.lower().split() for k in HEADS if len(w) > k).items():
+                at = found.setdefault((lang, head), [0.0, 0.0, 0.0])
+                at[1 - toxic] += weight * min(n, WEAK_MOST)
+                at[2] += weight * toxic
+        columns = [*zip(*((*k, *v) for k, v in found.items()))] or [()] * 5
+        yield pa.record_batch([pa.array(c, pa.string() if k < 2 else pa.float64()) for k, c in enumerate(columns)], ["lang", "head", "bad", "good", "docs"])
+
+
+def _weak_words(weak: dict[str, set[str]], marks: set[str]):
+    """The words of toxic texts that begin with a weak string of their language, and the other words of clean texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for text, lang, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "toxic"))):
+                own, out = weak.get(lang, set()), set()
+                for w in set(text.lower().split()):
+                    if any(w[:k] in own for k in HEADS) == bool(toxic) and not any(w[i:i + 4] in marks for i in range(len(w) - 3)):
+                        out |= {w[:WINDOW + SPAN]} if toxic else {w[:40]}
+                yield pa.record_batch({"word": pa.array(sorted(out), pa.string()), "toxic": pa.array([toxic] * len(out), pa.int32())})
+    return run
+
+
 def _stretches(marks: dict[str, float]):
     """Per document: of a toxic one the stretch at the worst 4-gram of each marked word, of a clean one all words, in parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,21 +318,36 @@ def _stretches(marks: dict[str, float]):
 
 def _margins(model: Model, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = model.lookup()
+        numbers, weak = model.lookup(), model.weak and model.weak.lookup()
+        for batch in slices(batches, "text"):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({column: batch.column(column), "margin": pa.array(margins(texts, model, numbers), pa.float64()),
+                                   "excess": pa.array(excess(texts, model, weak), pa.float64())})
+    return run
+
+
+def _evidence(model: Model):
+    """Of labelled texts the margin, and how many words they have and the weak machine takes from each of LEAST."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, weak = model.lookup(), model.weak and model.weak.lookup()
         for batch in slices(batches, "text"):
-            found = margins([t or "" for t in batch.column("text").to_pylist()], model, numbers)
-            yield pa.record_batch({column: batch.column(column), "margin": pa.array(found, pa.float64())})
+            texts = batch.column("text").to_pylist()
+            words, found = weak_counts(texts, model.weak, weak, LEAST) if model.weak else (np.zeros(len(texts), dtype=np.int64), [])
+            yield pa.record_batch({"toxic": batch.column("toxic"), "margin": pa.array(margins(texts, model, numbers), pa.float64()), "words": pa.array(words, pa.int64()),
+                                   "found": pa.array([[int(f[k]) for f in found] for k in range(len(texts))], pa.list_(pa.int64()))})
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     """Fit on at most `sample` labelled documents, chosen by the hash of their id among those not held out.
 
-    None if there are no labels of both kinds or no 4-gram tells them apart. Rows without id, text or label are not used.
+    None if there are no labels of both kinds or neither a 4-gram nor the beginnings of words tell them apart. Rows without id, text or label are
+    not used. A column `lang` groups the texts for weak evidence; without it, or null, they are one group.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = marked.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).dropna()
     rows = staged(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
     prints = {r["doc_id"]: r["prints"] for r in rows.select("doc_id", "text").mapInArrow(_prints, "doc_id long, prints array<long>").collect()}
     sizes = [Counter(p[k] for p in prints.values()) for k in range(3)]
@@ -281,36 +361,72 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model
     ratio = ((F.col("bad") + 0.5) / (total["bad"] + 1)) / ((F.col("good") + 0.5) / (total["good"] + 1))
     marks = {r["gram"]: r["ratio"] for r in grams.withColumn("ratio", ratio).filter(
         (F.col("bad") >= max(MARK_DOCS, MARK_SHARE * total["bad"])) & (F.col("ratio") >= MARK_RATIO)).orderBy(F.desc("ratio"), "gram").limit(WORDS).collect()}
-    words = staged(rows.mapInArrow(_stretches(marks), "word string, toxic int").groupBy("word", "toxic").agg(F.count("*").alias("n")), "words")
+    toxic, clean = _training_words(rows.mapInArrow(_stretches(marks), "word string, toxic int"))
+    model = fit_words(toxic, clean) if toxic and clean else Model("", np.zeros((LETTERS + 1) ** 3, dtype=np.float32), FLOOR, 1.0, 0.0)
+    weak = weak_beginnings(rows)
+    toxic, clean = _training_words(rows.mapInArrow(_weak_words(weak, set(marks)), "word string, toxic int")) if weak else ([], [])
+    if toxic and clean:
+        model.weak = fit_words(toxic, clean)
+    elif not model.letters:
+        return None
+    points = rows.mapInArrow(_evidence(model), "toxic int, margin double, words long, found array<long>").collect()
+    cut, words, toxic = (np.array(x, dtype=float) for x in zip(*((min(max(p["margin"], FLOOR), CEILING), p["words"], p["toxic"]) for p in points)))
+    model.slope, _, model.shift, best = calibrate(cut, np.zeros(len(cut)), toxic)
+    for k, least in enumerate(LEAST if model.weak else ()):
+        found = np.array([p["found"][k] for p in points], dtype=float)
+        rate = float(found[toxic == 0].sum() / max(words[toxic == 0].sum(), 1))
+        slope, extra, shift, fit = calibrate(cut, beyond(words, found, rate), toxic)
+        if fit > best:
+            best, model.least, model.rate, model.slope, model.extra, model.shift = fit, least, rate, slope, extra, shift
+    return model
+
+
+def weak_beginnings(rows: DataFrame) -> dict[str, set[str]]:
+    """By language, the beginnings of words that are weak evidence; `rows` has `text, lang, toxic, weight`."""
+    is_toxic = F.col("toxic") == 1
+    totals = rows.groupBy("lang").agg(F.sum(F.when(is_toxic, F.col("weight")).otherwise(0.0)).alias("toxic_docs"),
+                                      F.sum(F.when(is_toxic, 0.0).otherwise(F.col("weight"))).alias("clean_docs"))
+    heads = rows.mapInArrow(_beginnings, "lang string, head string, bad double, good double, docs double").groupBy("lang", "head").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("docs").alias("docs")).join(F.broadcast(totals), "lang")
+    ratio = ((F.col("bad") + 0.5) / (F.col("toxic_docs") + 1)) / ((F.col("good") + 0.5) / (F.col("clean_docs") + 1))
+    found = heads.filter((F.col("docs") >= F.greatest(F.lit(WEAK_DOCS), WEAK_SHARE * F.col("toxic_docs"))) & (ratio >= WEAK_RATIO))
+    out: dict[str, set[str]] = {}
+    for r in found.select("lang", "head").orderBy(F.desc(ratio), "lang", "head").limit(WORDS).collect():
+        out.setdefault(r["lang"], set()).add(r["head"])
+    return out
+
+
+def _training_words(words: DataFrame) -> tuple[list[tuple[str, int]], list[str]]:
+    """Words with toxic label and their numbers, and clean words: the most frequent and some of the others."""
+    words = staged(words.groupBy("word", "toxic").agg(F.count("*").alias("n")), "words")
     toxic = [(r["word"], r["n"]) for r in words.filter("toxic = 1").orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     common = [r["word"] for r in words.filter("toxic = 0").orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     others = [r["word"] for r in words.filter("toxic = 0").orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS).collect()]
-    clean = sorted({*common, *others}, key=hash_order)
-    if not toxic or not clean:
-        return None
-    model = fit_words(toxic, clean)
-    points = rows.mapInArrow(_margins(model, "toxic"), "toxic int, margin double").collect()
-    model.slope, model.shift = calibrate(np.clip([p["margin"] for p in points], FLOOR, CEILING), np.array([p["toxic"] for p in points], dtype=float))
-    return model
+    return toxic, sorted({*common, *others}, key=hash_order)
 
 
 def hash_order(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve of label on margin, with a weak prior on its two numbers."""
-    scale = x.std() or 1.0
-    z = np.stack([(x - x.mean()) / scale, np.ones(len(x))], axis=1)
-    b = np.zeros(2)
+def calibrate(margin: np.ndarray, more: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
+    """Logistic curve of label on margin and excess, with a weak prior on its numbers, and its logarithmic fit; the excess never lowers a score."""
+    x = np.stack([margin, more], axis=1) if more.any() else margin[:, None]
+    centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = np.hstack([(x - centre) / scale, np.ones((len(x), 1))])
+    b = np.zeros(z.shape[1])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + 0.1 * np.eye(2), z.T @ (y - p) - 0.1 * b)
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + 0.1 * np.eye(len(b)), z.T @ (y - p) - 0.1 * b)
         step *= min(1.0, 2.0 / np.abs(step).max()) if np.abs(step).max() else 0.0
         b += step
         if np.abs(step).max() < 1e-9:
             break
-    return b[0] / scale, b[1] - b[0] * x.mean() / scale
+    slopes = b[:-1] / scale
+    if len(slopes) > 1 and slopes[1] < 0:
+        return calibrate(margin, np.zeros_like(more), y)
+    fit = -np.logaddexp(0, (1 - 2 * y) * (z @ b)).sum()
+    return float(slopes[0]), float(slopes[1]) if len(slopes) > 1 else 0.0, float(b[-1] - slopes @ centre), float(fit)
 
 
 def held_out():
@@ -329,8 +445,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     else:
         ship_package(docs.sparkSession)
         margin = F.greatest(F.least(F.col("margin"), F.lit(CEILING)), F.lit(FLOOR))
-        scored = rows.mapInArrow(_margins(model, "doc_id"), "doc_id long, margin double").select(
-            "doc_id", (1 / (1 + F.exp(-(margin * float(model.slope) + float(model.shift))))).alias("score"))
+        scored = rows.mapInArrow(_margins(model, "doc_id"), "doc_id long, margin double, excess double").select(
+            "doc_id", (1 / (1 + F.exp(-(margin * model.slope + F.col("excess") * model.extra + model.shift)))).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -341,11 +457,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _kept(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = model.lookup()
+        numbers, weak = model.lookup(), model.weak and model.weak.lookup()
         rows = (pa.record_batch({"row": b.column("row"), "text": pc.struct_field(b.column("row"), "text")}) for b in batches)
         for batch in slices(rows, "text"):
-            found = np.clip(margins([t or "" for t in batch.column("text").to_pylist()], model, numbers), FLOOR, CEILING)
-            good = 1 / (1 + np.exp(-(found * model.slope + model.shift))) < THRESHOLD
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            found = np.clip(margins(texts, model, numbers), FLOOR, CEILING) * model.slope + excess(texts, model, weak) * model.extra
+            good = 1 / (1 + np.exp(-(found + model.shift))) < THRESHOLD
             yield pa.RecordBatch.from_arrays([batch.column("row")], names=["row"]).filter(pa.array(good))
     return run
 

@@ -52,3 +52,23 @@ def test_awkward_tables(awkward, nothing, spark):
     assert stay.columns == awkward.columns
     assert toxic.score_toxicity(nothing, labels.limit(0)).collect() == []
     assert toxic.drop_toxic(awkward, labels.limit(0)).count() == awkward.count()
+
+
+def test_weak_words_add_up(spark):
+    """Beginnings that clean texts of a language have now and then, toxic ones several times; held-out documents of all labels count."""
+    rng = random.Random(3)
+    syllables = ["ach", "lich", "keit", "ung", "ver", "ge", "ein", "au", "pf", "te", "zu", "sch"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    rows = []
+    for i in range(600):
+        text, bad = [word() for _ in range(120)], i % 6 == 0
+        for _ in range(rng.randint(4, 8) if bad else rng.random() < 0.2):
+            text.insert(rng.randrange(len(text)), "brumwex" + word())
+        rows.append((i, " ".join(text), "de", int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    got = toxic.score_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).join(docs, "doc_id").filter("held_out").collect()
+    found = sum(r["toxic"] * r["predicted"] for r in got)
+    assert found >= 0.9 * sum(r["toxic"] for r in got) > 10
+    assert found >= 0.9 * sum(r["predicted"] for r in got)
+    stay = {r["doc_id"] for r in toxic.drop_toxic(docs, docs.select("doc_id", "toxic")).collect()}
+    assert stay == {r["doc_id"] for r in toxic.score_toxicity(docs, docs.select("doc_id", "toxic")).filter("predicted = 0").collect()}
