@@ -96,7 +96,7 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = winnow.without_repeats(table(spark, sf_dir, "documents"))
+    rows = winnow.without_repeats(table(spark, sf_dir, "documents"), long=winnow.LONG)
     return rows.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

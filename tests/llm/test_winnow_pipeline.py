@@ -53,6 +53,26 @@ def test_lines_are_brute_force(spark, documents, awkward, gram, window):
             assert (got[doc]["text"] or "") == "\n".join(kept)
 
 
+def test_lines_against_all_earlier_places(spark, documents, awkward):
+    """Every run of two lines and every long line that any earlier place has, not only the first place of a fingerprint."""
+    far = "a long line " * 10
+    made = [(1, "g1\ng2"), (2, f"u\nx\ng1\ng2\ny\n{far}"), (3, f"v\nx\ng1\ng2\ny\nw\n{far}\nu"), (4, far), (5, "u"), (6, "x\ng1\nq\ng2\ny"), (7, f" {far}\n\nu\nv")]
+    made = spark.createDataFrame(made, "doc_id long, text string")
+    for docs in (made, documents, awkward.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: r["doc_id"])
+        seen, want = set(), {}
+        for r in rows:
+            lines = [(i, x.strip(winnow.BLANKS)) for i, x in enumerate((r["text"] or "").split("\n")) if x.strip(winnow.BLANKS)]
+            out = set()
+            for units in ([[a, b] for a, b in zip(lines, lines[1:])] + [[a] for a in lines if len(a[1]) >= winnow.LONG]):
+                key = tuple(x for _, x in units)
+                out |= {i for i, _ in units} if key in seen else set()
+                seen.add(key)
+            want[r["doc_id"]] = sorted(out)
+        got = {r["doc_id"]: sorted(r["removed"]) for r in winnow.without_repeats(docs, long=winnow.LONG).collect()}
+        assert got == want
+
+
 def test_lines_of_awkward_tables(awkward, nothing):
     assert winnow.without_repeats(awkward).count() == awkward.count()
     assert winnow.without_repeats(nothing).collect() == []
