@@ -26,7 +26,7 @@ from scorelake.session import ship_package
 
 ALPHA = 0.4
 #: Longest n-gram; bytes of text of a slice and of a part. On a large table both grow, so that slices times parts stays small.
-ORDER, SLICE_BYTES, PART_BYTES = 2, 2 << 20, 8 << 20
+ORDER, SLICE_BYTES, PART_BYTES = 3, 2 << 20, 8 << 20
 #: Stands for all words, with their number as its count.
 ALL = U64(0)
 

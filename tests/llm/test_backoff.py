@@ -43,3 +43,13 @@ def test_scores_are_brute_force(request, which, order):
 
 def test_empty(nothing):
     assert backoff.score_documents(nothing).collect() == []
+
+
+def test_registered_query_uses_triples(spark, documents):
+    from scorelake.llm import queries
+
+    got = queries.op1_stupid_backoff(spark, "/root/testdata/sf0.001").collect()
+    want = brute(documents.collect(), 3)
+    found = sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in got)
+    assert [x[:2] for x in found] == [x[:2] for x in want]
+    assert [x[2] for x in found] == pytest.approx([x[2] for x in want], rel=1e-9, abs=1e-6)
