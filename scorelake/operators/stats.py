@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -64,7 +65,7 @@ def select_subset(tiles: DataFrame, *, class_count: int, per_class: int, total:
     shown: list[str] = []
 
     def take(pool: DataFrame, extra: list, n: int) -> int:
-        seen = F.size(F.array_intersect("annotation_ids", F.array(*(F.lit(v) for v in shown)).cast("array<string>")))
+        seen = F.size(F.array_intersect("annotation_ids", F.from_json(F.lit(json.dumps(shown)), "array<string>")))
         order = [seen, F.col("n_clipped") > 0, F.col("padded"), *extra, F.size("annotation_ids"), "__h"]
         fresh = pool.filter(~F.col("tile_id").isin(chosen)) if chosen else pool
         picked = fresh.orderBy(*order).select("tile_id", "annotation_ids").take(n)

@@ -164,7 +164,8 @@ def subset_coverage(spark, sf):
         F.concat_ws("_", *key).alias("tile_id"), F.coalesce(F.transform("m", lambda r: r["id"]), empty("string")).alias("annotation_ids"),
         F.coalesce(F.transform("m", lambda r: r["class_id"]), empty("bigint")).alias("class_ids"), F.coalesce("n_clipped", F.lit(0)).alias("n_clipped"),
         ((F.col("pad_right") > 0) | (F.col("pad_bottom") > 0)).alias("padded"), F.col("m").isNull().alias("is_negative"))
-    out = stats.select_subset(tiles, class_count=6, per_class=2, total=16, negatives=5, seed=42)
+    classes = load(spark, sf, "gt").agg(F.max("class_id")).first()[0] + 1  # numbered from 0
+    out = stats.select_subset(tiles, class_count=classes, per_class=2, total=2 * classes + 4, negatives=5, seed=42)
     return out.select("tile_id", F.array_join(F.col("class_ids").cast("array<string>"), ",").alias("class_ids"), "is_negative")
 
 
