@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import backoff, exact, html, near, packing, pieces, simhash, token_output, toxic, winnow
+from scorelake.llm import backoff, exact, html, manifest, near, packing, phrases, pieces, simhash, token_output, toxic, winnow
 from scorelake.llm.common import table
 from scorelake.llm.registry import query
 
@@ -106,3 +106,78 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT *, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS k,
+         concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(b)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR b IN string_split(doc_id::VARCHAR, '')])),
+                     lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))) AS crc
+  FROM documents),
+d AS (
+  SELECT k, doc_id, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+         sha256(concat(head, coalesce(strlen(t) || ':' || t, '-'))) AS claimed
+  FROM (SELECT *, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM c)),
+l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS m FROM d),
+up AS (
+  SELECT k, 0 AS lvl, i, leaf AS h, m FROM l
+  UNION ALL
+  SELECT k, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(m) + 2) // 3 FROM up WHERE m > 1 GROUP BY k, lvl, i // 3),
+top AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS j, count(*) OVER () AS m FROM up WHERE m = 1),
+over AS (
+  SELECT 1000 AS lvl, j AS i, h, m FROM top
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(m) + 2) // 3 FROM over WHERE m > 1 GROUP BY lvl, i // 3),
+nodes AS (SELECT k, lvl, i, h, m FROM up WHERE m > 1 UNION ALL SELECT NULL, lvl, i, h, m FROM over WHERE m > 1),
+runs AS (
+  SELECT a.k, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS le, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS ri
+  FROM nodes a JOIN nodes b ON a.k IS NOT DISTINCT FROM b.k AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 GROUP BY ALL),
+steps AS (
+  SELECT l.k, l.i, r.lvl, le, ri FROM l JOIN runs r ON r.k = l.k AND r.i = l.i // (3 ** r.lvl)::BIGINT
+  UNION ALL
+  SELECT l.k, l.i, r.lvl, le, ri FROM l JOIN top USING (k) JOIN runs r ON r.k IS NULL AND r.i = top.j // (3 ** (r.lvl - 1000))::BIGINT),
+paths AS (SELECT k, i, string_agg(le || ri, '' ORDER BY lvl) AS proof, list(le || '#' || ri ORDER BY lvl) AS path FROM steps GROUP BY k, i)
+SELECT l.doc_id, l.leaf, top.h AS subroot, r.h AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+       list_reduce(list_prepend(claimed, coalesce(path, [])), lambda c, x: sha256(split_part(x, '#', 1) || c || split_part(x, '#', 2))) AS folded_root,
+       folded_root = root AS verified
+FROM l JOIN top USING (k) JOIN (SELECT h FROM over WHERE m = 1) r ON true LEFT JOIN paths ON paths.k = l.k AND paths.i = l.i
+"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = manifest.manifest(table(spark, sf_dir, "documents"), claimed=tampered)
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+PHRASE_SQL = r"""
+WITH w AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+f AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS m)
+  WHERE i + m - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT c.lang, c.phrase, c.m, c.a, c.k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ')
+              JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:c.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+g AS (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE m = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE m = 3),
+o AS (SELECT lang, phrase, max(a) AS longer FROM g GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n.n, b.score::BIGINT AS score
+FROM b JOIN n USING (lang) LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+WHERE o.longer IS NULL OR 100 * o.longer < 50 * b.a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", PHRASE_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
