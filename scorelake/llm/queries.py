@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import backoff, exact, html, manifest, near, packing, phrases, pieces, simhash, token_output, toxic, winnow
+from scorelake.llm import ann, backoff, exact, html, manifest, near, packing, phrases, pieces, simhash, token_output, toxic, winnow
 from scorelake.llm.common import table
 from scorelake.llm.registry import query
 
@@ -181,3 +181,24 @@ QUALIFY rank <= 2000
 @query("op12_phrase_collocations", PHRASE_SQL)
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+#: Brute force; the index answers as exactly while a table has fewer than ann.AT_LEAST vectors, beyond that it may miss some.
+NEAREST_SQL = r"""
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS l FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]), lambda a, b: a + b) / (q.l * c.l) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op13_nearest_vectors", NEAREST_SQL)
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.MultiIndex(rows, count=5).search(rows.filter("vec_id % 50 = 0"))
