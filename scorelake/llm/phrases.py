@@ -2,16 +2,16 @@
 
 Every word of a piece opens one window of `longest` words: its own column and lead columns for the words that follow, padded with
 empty words behind the end of the piece. Only these longest windows are counted. A phrase's count is the sum over all windows that begin with it, so
-shorter counts are sums over prefixes: first without the last word (already where the exchange put the windows), then ROLLUP over what is left.
+shorter counts are sums over prefixes: first without the last word (where the exchange has put the windows), then ROLLUP over what is left.
 
-Windows are counted per task in chunks of text before they are shuffled, by all words but the last, so that a word of a third of the
-table is spread over the words that follow it. Text is never shuffled.
+Windows are counted per task in chunks of text before they are shuffled, packed by first word and a hash of the second, so that a word of a
+third of the table is spread over the words that follow it. Text is never shuffled.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from scorelake.llm.shingles import LOWER, text_bytes
 from scorelake.session import ship_package
 
 #: Bytes of text whose windows are counted together in a task.
-CHUNK = 1 << 24
-OUT_ROWS = 1 << 16
+CHUNK = 1 << 23
+OUT_ROWS = 1 << 14
+#: Shares that the windows of one first word are spread over.
+BUCKETS = 64
 #: Ranks of a language are cut per salt first; a salt holds about this many phrases.
 SALT_ROWS = 1_000_000
 
@@ -43,8 +45,9 @@ def window_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     before, after = np.concatenate([[False], inner[:-1]])[:len(data)], np.concatenate([inner[1:], [False]])[:len(data)]
     start = np.flatnonzero(inner & (~before | edge[:-1]))
     end = np.flatnonzero(inner & (~after | edge[1:])) + 1
+    del edge, before, after
     row = np.searchsorted(offsets, start, side="right") - 1
-    piece = np.cumsum(STOP[data], dtype=np.int64)[start] + row
+    piece = np.searchsorted(np.flatnonzero(STOP[data]), start) + row
     at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
     letters = LOWER[data[inner]].tobytes()
     words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(letters)])
@@ -52,7 +55,10 @@ def window_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def count_windows(langs: pa.Array, texts: pa.Array, longest: int) -> Iterator[pa.RecordBatch]:
-    """`prefix, last, c`: the distinct windows of these rows. `prefix` is all words but the last, by spaces, then a line feed and the language."""
+    """The distinct windows of these rows, packed by language, first word and a hash of the second: `lang, w1, bucket, tails`.
+
+    `tails` holds a line per window: its other words and its count, by spaces.
+    """
     words, row, piece = window_words(texts)
     if not len(words):
         return
@@ -66,18 +72,25 @@ def count_windows(langs: pa.Array, texts: pa.Array, longest: int) -> Iterator[pa
         shifted = np.full(total, size - 1)
         shifted[:max(total - k, 0)] = np.where(piece[k:] == piece[:max(total - k, 0)], code[k:], size - 1)
         lead.append(shifted)
-    key = spoken
-    for column in lead[:-1]:
+    bucket = np.array([zlib.crc32(word) % BUCKETS for word in coded.dictionary.cast(pa.large_binary()).to_pylist()] + [0])
+    _, group = np.unique((spoken * size + code) * BUCKETS + bucket[lead[1]], return_inverse=True)
+    key = group
+    for column in lead[1:-1]:
         _, key = np.unique(key * size + column, return_inverse=True)
     _, first, counts = np.unique(key * size + lead[-1], return_index=True, return_counts=True)
     named = pa.concat_arrays([coded.dictionary, pa.array([""], pa.large_string())])
-    tongue = lang.dictionary.cast(pa.large_string())
-    for a in range(0, len(first), OUT_ROWS):
-        some = first[a:a + OUT_ROWS]
-        parts = [named.take(pa.array(column[some])) for column in lead]
-        prefix = pc.binary_join_element_wise(*parts[:-1], pa.scalar(" ", pa.large_string())) if longest > 2 else parts[0]
-        prefix = pc.binary_join_element_wise(prefix, tongue.take(pa.array(spoken[some])), pa.scalar("\n", pa.large_string()))
-        yield pa.record_batch({"prefix": prefix.cast(pa.string()), "last": parts[-1].cast(pa.string()), "c": pa.array(counts[a:a + OUT_ROWS])})
+    tongue, space = lang.dictionary.cast(pa.large_string()), pa.scalar(" ", pa.large_string())
+    starts = np.flatnonzero(np.diff(group[first], prepend=-1))
+    ends = np.append(starts[1:], len(first))
+    for a in range(0, len(starts), OUT_ROWS):
+        heads, to = first[starts[a:a + OUT_ROWS]], ends[min(a + OUT_ROWS, len(starts)) - 1]
+        some = first[starts[a]:to]
+        parts = [named.take(pa.array(column[some])) for column in lead[1:]]
+        lines = pc.binary_join_element_wise(*parts, pa.array(counts[starts[a]:to]).cast(pa.large_string()), space)
+        offsets = np.append(starts[a:a + OUT_ROWS], to) - starts[a]
+        tails = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), lines), pa.scalar("\n", pa.large_string()))
+        yield pa.record_batch({"lang": tongue.take(pa.array(spoken[heads])).cast(pa.string()), "w1": named.take(pa.array(code[heads])).cast(pa.string()),
+                               "bucket": pa.array(bucket[lead[1][heads]], pa.int32()), "tails": tails.cast(pa.string())})
 
 
 def _windows(longest: int):
@@ -106,25 +119,28 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[D
     """
     ship_package(docs.sparkSession)
     given = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty().alias("text"))
-    windows = given.mapInArrow(_windows(longest), "prefix string, last string, c long").repartition("prefix")
-    top = windows.groupBy("prefix", "last").agg(F.sum("c").alias("c"))
+    packed = given.mapInArrow(_windows(longest), "lang string, w1 string, bucket int, tails string").repartition("lang", "w1", "bucket")
     names = [f"w{k}" for k in range(1, longest)]
-    spoken = F.substring_index("prefix", "\n", 1)
-    lang = F.expr("substring(prefix, instr(prefix, '\n') + 1)")
-    lead = [F.split(spoken, " ", -1)[k].alias(name) for k, name in enumerate(names)]
-
-    whole = (top.filter((F.col("last") != "") & (F.col("c") >= least))
-             .select(lang.alias("lang"), F.lit(longest).alias("m"), F.concat_ws(" ", spoken, "last").alias("phrase"), "c"))
-    shorter = top.groupBy("prefix").agg(F.sum("c").alias("c")).select(lang.alias("lang"), *lead, "c")
-    kept = (shorter.filter((F.col(names[-1]) != "") & (F.col("c") >= least))
-            .select("lang", F.lit(longest - 1).alias("m"), F.concat_ws(" ", *names).alias("phrase"), "c"))
-    rolled = shorter.rollup("lang", *names[:-1]).agg(F.sum("c").alias("c"), F.grouping_id().alias("level"))
-    depth = F.lit(longest - 2) - F.length(F.replace(F.bin("level"), F.lit("0"), F.lit("")))
-    last = F.coalesce(*[F.col(name) for name in reversed(names[:-1])], F.lit("")) if longest > 2 else F.lit("")
-    rolled = (rolled.filter("lang IS NOT NULL").withColumn("m", depth)
-              .filter((F.col("m") == 0) | ((last != "") & (F.col("c") >= least)))
-              .select("lang", F.col("m").cast("int").alias("m"), F.concat_ws(" ", *names[:-1]).alias("phrase"), "c"))
-    levels = staged(reduce(DataFrame.unionByName, [whole, kept, rolled]).withColumnRenamed("c", "f"), "phrases")
+    keys = ["lang", "bucket", *names]
+    lines = packed.select("lang", "w1", "bucket", F.explode(F.split("tails", "\n", -1)).alias("line"))
+    part = lambda k: F.substring_index(F.substring_index("line", " ", k), " ", -1)
+    windows = lines.select("lang", "w1", "bucket", *[part(k - 1).alias(f"w{k}") for k in range(2, longest)], part(longest - 1).alias("last"),
+                           F.substring_index("line", " ", -1).cast("long").alias("c"))
+    top = windows.groupBy(*keys, "last").agg(F.sum("c").alias("c"))
+    frequent = F.when((F.col("last") != "") & (F.col("c") >= least), F.struct("last", "c"))
+    both = top.select(*keys, F.explode(F.array(frequent, F.struct(F.lit(None).cast("string").alias("last"), "c"))).alias("e")).filter("e IS NOT NULL")
+    sums = both.groupBy(*keys, "e.last").agg(F.sum("e.c").alias("c"))
+    if longest > 2:  # a rare last word of a prefix is of no use any more: the shorter prefixes keep its count
+        sums = sums.withColumn(names[-1], F.when(F.col("c") >= least, F.col(names[-1])).otherwise(""))
+    sums = staged(sums.groupBy("lang", *names, "last").agg(F.sum("c").alias("c")), "prefixes")
+
+    whole = sums.filter("last IS NOT NULL").select("lang", F.lit(longest).alias("m"), F.concat_ws(" ", *names, "last").alias("phrase"), "c")
+    rolled = sums.filter("last IS NULL").rollup("lang", *names).agg(F.sum("c").alias("c"), F.grouping_id().alias("level"))
+    given = F.lit(longest - 1) - F.bit_count("level")
+    ending = F.coalesce(*[F.col(name) for name in reversed(names)], F.lit(""))
+    rolled = (rolled.filter("lang IS NOT NULL").withColumn("m", given).filter((F.col("m") == 0) | ((ending != "") & (F.col("c") >= least)))
+              .select("lang", "m", F.concat_ws(" ", *names).alias("phrase"), "c"))
+    levels = staged(whole.unionByName(rolled).withColumnRenamed("c", "f"), "phrases")
     return levels.filter("m > 0"), levels.filter("m = 0").select("lang", F.col("f").alias("n"))
 
 
