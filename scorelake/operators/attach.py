@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.boxes import Box, box, intersection_area
 from scorelake.operators.ranking import quantiles
 from scorelake.operators.spatial import collapse_copies, grid_join
+from scorelake.session import cut_lineage
 
 
 def prefixed(df: DataFrame, prefix: str) -> tuple[DataFrame, Box]:
@@ -52,6 +53,57 @@ def next_accidental(accidentals: DataFrame) -> DataFrame:
     return pairs.groupBy("page_id", "acc_id").agg(F.min("next_id").alias("next_id"))
 
 
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """The end of the chain each accidental is in, and the number of steps to it: list ranking by pointer doubling.
+
+    `edges(page_id, acc_id, next_id)` has one row per accidental that is followed by another. Every round each pointer skips to where its target
+    points, so that chains of n take log2(n) rounds. Edges lead to the right, so there are no rings.
+    """
+    state = cut_lineage(edges.select("page_id", "acc_id", F.col("next_id").alias("end_id"), F.lit(1).cast("long").alias("steps")))
+    while True:
+        ahead = state.select("page_id", F.col("acc_id").alias("end_id"), F.col("end_id").alias("further"), F.col("steps").alias("more"))
+        moved = cut_lineage(state.join(ahead, ["page_id", "end_id"], "left").select(
+            "page_id", "acc_id", F.coalesce("further", "end_id").alias("end_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.col("further").isNotNull().alias("moved")))
+        state = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return state
+
+
+def accidental_chains(attached: DataFrame, heads: DataFrame) -> DataFrame:
+    """What every accidental belongs to: `page_id, acc_id, end_id, steps, role, ng`.
+
+    `attached(page_id, acc_id, shift, box, ng)` is the outcome of `accidental_to_note`, `heads(page_id, ng, chord_id, box)` the heads of chords. An
+    accidental without a note leads to the next one at its height; the last of the chain decides for all. Where that one has no note, the chain is a
+    `key_signature`. Otherwise each of the others goes to the head of that chord that its own height covers most (`chord`, lower id on
+    ties), unless the chord is a `single_head`, no head is at that height (`no_head`), or the head is `taken`: by its own accidental,
+    or by the farther one in a chain.
+    """
+    edges = next_accidental(attached.select("page_id", "acc_id", *box())).join(attached.filter("ng IS NULL").select("page_id", "acc_id"), ["page_id", "acc_id"], "left_semi")
+    ends = chain_ends(edges)
+    ending = attached.select("page_id", F.col("acc_id").alias("end_id"), F.col("ng").alias("end_ng"))
+    rows = attached.join(ends, ["page_id", "acc_id"], "left").withColumns({"end_id": F.coalesce("end_id", "acc_id"), "steps": F.coalesce("steps", F.lit(0))})
+    rows = rows.join(ending, ["page_id", "end_id"])
+    heads = collapse_copies(heads, ["page_id", "chord_id"], "ng")
+    sizes = heads.groupBy("page_id", "chord_id").agg(F.count("*").alias("n_heads"))
+    chord = heads.join(sizes, ["page_id", "chord_id"]).select("page_id", F.col("ng").alias("end_ng"), "chord_id", "n_heads")
+    rows = cut_lineage(rows.join(chord, ["page_id", "end_ng"], "left"))
+
+    probe = accidental_probe(box(), F.col("shift"))
+    reach = rows.filter("ng IS NULL AND n_heads > 1").select("page_id", "acc_id", "steps", "chord_id", probe.y0.alias("py0"), probe.y1.alias("py1"))
+    shared = F.least("py1", "y1") - F.greatest("py0", "y0")
+    met = reach.join(heads, ["page_id", "chord_id"]).filter(shared > 0)
+    best = met.groupBy("page_id", "acc_id", "steps").agg(F.min(F.struct((-shared).alias("s"), F.col("ng").alias("ng")))["ng"].alias("head"))
+    first = best.groupBy("page_id", "head").agg(F.min(F.struct((-F.col("steps")).alias("s"), "acc_id"))["acc_id"].alias("first"))
+    own = attached.filter("ng IS NOT NULL").select("page_id", F.col("ng").alias("head"), F.lit(True).alias("owned")).distinct()
+    won = best.join(first, ["page_id", "head"]).join(own, ["page_id", "head"], "left")
+    won = won.select("page_id", "acc_id", "head", (F.col("owned").isNull() & (F.col("first") == F.col("acc_id"))).alias("won"))
+    role = (F.when(F.col("ng").isNotNull(), "note").when(F.col("end_ng").isNull(), "key_signature").when(F.col("n_heads") == 1, "single_head")
+            .when(F.col("head").isNull(), "no_head").when(F.col("won"), "chord").otherwise("taken"))
+    out = rows.join(won, ["page_id", "acc_id"], "left").withColumn("role", role)
+    return out.select("page_id", "acc_id", "end_id", "steps", "role", F.when(F.col("role") == "chord", F.col("head")).otherwise(F.col("ng")).alias("ng"))
+
+
 def dot_window(b: Box, unit: Column, is_rest: Column) -> Box:
     """Right of a note from one unit above to one and a half below its top; right of a rest two units down."""
     return Box(b.x1, F.when(is_rest, b.y0).otherwise(F.greatest(F.lit(0), b.y0 - unit)), b.x1 + 2 * unit,

@@ -30,6 +30,49 @@ def accidental_to_note(spark, sf):
     return attach.accidental_to_note(_accidentals(spark, sf), heads).select("page_id", "acc_id", F.coalesce("ng", F.lit(-1)).alias("ng"), "maybe_key_signature")
 
 
+# Chains of one to eight accidentals before a head: each stands 12 to the left of the one it leads to, a little higher; some chains stop short of the head.
+CHAIN = """cn AS (SELECT page_id, ng, pk, sk, accidental, x0, y0, y1, unnest(range(pk % 8 + 1)) AS j FROM note WHERE accidental IS NOT NULL),
+ac AS (SELECT page_id, (ng % 1152921504606846976) * 8 + j AS acc_id, accidental AS shift, x0 - 12 - 12 * j - CASE WHEN sk % 5 = 0 THEN 12 ELSE 0 END AS x0, y0 - 6 - 9 * j AS y0,
+  x0 - 2 - 12 * j - CASE WHEN sk % 5 = 0 THEN 12 ELSE 0 END AS x1, y1 + 6 - 9 * j AS y1 FROM cn),
+hd AS (SELECT page_id, staff_index * 16 + slot AS chord_id, min(ng) AS ng, x0, y0, x1, y1 FROM note WHERE is_rest = 0 GROUP BY ALL),
+pb AS (SELECT page_id, acc_id, x1 AS a0, x1 + (x1 - x0) AS a1, CASE WHEN shift >= 0 THEN (y0 + y1) // 2 - (y1 - y0) // 6 ELSE (y0 + y1) // 2 END AS b0,
+  CASE WHEN shift >= 0 THEN (y0 + y1) // 2 + (y1 - y0) // 6 ELSE y1 END AS b1 FROM ac),
+ov AS (SELECT p.page_id, p.acc_id, n.ng, greatest(0, least(a1, x1) - greatest(a0, x0)) * greatest(0, least(b1, y1) - greatest(b0, y0)) AS area FROM pb p JOIN hd n ON n.page_id = p.page_id),
+bs AS (SELECT * FROM ov WHERE area > 0 QUALIFY row_number() OVER (PARTITION BY page_id, acc_id ORDER BY area DESC, ng) = 1),
+att AS (SELECT ac.*, bs.ng FROM ac LEFT JOIN bs USING (page_id, acc_id)),
+nx AS (SELECT a.page_id, a.acc_id, min(b.acc_id) AS next_id FROM att a JOIN ac b ON b.page_id = a.page_id AND a.ng IS NULL AND least(a.x1 + (a.x1 - a.x0) // 2, b.x1) > greatest(a.x1, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY 1, 2),
+wk AS (SELECT page_id, acc_id, acc_id AS end_id, 0 AS steps FROM att UNION ALL SELECT wk.page_id, wk.acc_id, nx.next_id, wk.steps + 1 FROM wk JOIN nx ON nx.page_id = wk.page_id AND nx.acc_id = wk.end_id),
+en AS (SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY page_id, acc_id ORDER BY steps DESC) = 1),
+ch AS (SELECT e.*, a.ng, b.ng AS end_ng, h.chord_id, (SELECT count(*) FROM hd x WHERE x.page_id = h.page_id AND x.chord_id = h.chord_id) AS n_heads, p.b0, p.b1
+  FROM en e JOIN att a USING (page_id, acc_id) JOIN pb p USING (page_id, acc_id) JOIN att b ON b.page_id = e.page_id AND b.acc_id = e.end_id LEFT JOIN hd h ON h.page_id = b.page_id AND h.ng = b.ng),
+mt AS (SELECT c.page_id, c.acc_id, c.steps, h.ng AS head FROM ch c JOIN hd h ON h.page_id = c.page_id AND h.chord_id = c.chord_id WHERE c.ng IS NULL AND c.n_heads > 1 AND least(b1, y1) > greatest(b0, y0)
+  QUALIFY row_number() OVER (PARTITION BY c.page_id, c.acc_id ORDER BY least(b1, y1) - greatest(b0, y0) DESC, h.ng) = 1),
+wn AS (SELECT *, row_number() OVER (PARTITION BY page_id, head ORDER BY steps DESC, acc_id) = 1 AND NOT EXISTS (SELECT 1 FROM att WHERE att.page_id = mt.page_id AND att.ng = mt.head) AS won FROM mt),
+ro AS (SELECT ch.*, head, CASE WHEN ch.ng IS NOT NULL THEN 'note' WHEN end_ng IS NULL THEN 'key_signature' WHEN n_heads = 1 THEN 'single_head' WHEN head IS NULL THEN 'no_head' WHEN won THEN 'chord' ELSE 'taken' END AS role
+  FROM ch LEFT JOIN wn USING (page_id, acc_id))"""
+
+
+def _chained(spark, sf):
+    notes = load(spark, sf, "note")
+    n = notes.filter("accidental IS NOT NULL").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pk") % 8)))
+    left = 12 * F.col("j") + F.when(F.col("sk") % 5 == 0, 12).otherwise(0)
+    acc = n.select("page_id", (F.col("ng") % (1 << 60) * 8 + F.col("j")).alias("acc_id"), F.col("accidental").alias("shift"), (F.col("x0") - 12 - left).alias("x0"),
+                   (F.col("y0") - 6 - 9 * F.col("j")).alias("y0"), (F.col("x0") - 2 - left).alias("x1"), (F.col("y1") + 6 - 9 * F.col("j")).alias("y1"))
+    heads = notes.filter("is_rest = 0").select("page_id", "ng", (F.col("staff_index") * 16 + F.col("slot")).alias("chord_id"), *box())
+    return attach.accidental_chains(attach.accidental_to_note(acc, heads.drop("chord_id")).drop("maybe_key_signature"), heads)
+
+
+@query("accidental_chains", with_views("note", then=CHAIN, recursive=True) + """
+SELECT page_id, acc_id, end_id, steps::BIGINT AS steps, role, coalesce(CASE WHEN role = 'chord' THEN head ELSE ng END, -1) AS ng FROM ro""")
+def accidental_chains(spark, sf):
+    return _chained(spark, sf).fillna(-1, ["ng"])
+
+
+@query("accidental_roles", with_views("note", then=CHAIN, recursive=True) + "SELECT role, max(steps)::BIGINT AS longest, count(*) AS n FROM ro GROUP BY 1")
+def accidental_roles(spark, sf):
+    return _chained(spark, sf).groupBy("role").agg(F.max("steps").alias("longest"), F.count("*").alias("n"))
+
+
 @query("dot_to_note", with_views("note", then="""
 dt AS (SELECT DISTINCT page_id, x1 + 4 + sk % 50 AS cx, y0 + 6 + pk % 60 AS cy FROM note WHERE has_dot = 1)""") + """
 SELECT n.page_id, n.ng AS head_id, EXISTS (SELECT 1 FROM dt WHERE dt.page_id = n.page_id AND cx BETWEEN x1 AND x1 + 2 * unit
