@@ -151,7 +151,7 @@ class MultiIndex:
         if not self.size:
             return
         sample = matrix(entries.orderBy(F.xxhash64(F.col("ids")[0]), "h").select("v").limit(SAMPLE).toArrow().column("v"))
-        k = min(max(8, 1 << round(np.log2(max(self.size, 1) ** 0.5 / 3))), MOST, len(sample))
+        k = min(1 << max(3, round(np.log2(self.size ** 0.5 / 3))), MOST, len(sample))
         self.books = books = [fit_centroids(half, k, seed) for seed, half in enumerate(unit_halves(sample))]
         self.wanted = min(self.size, max(AT_LEAST, int(np.ceil(fit_share(sample, books, count) * self.size))))
 

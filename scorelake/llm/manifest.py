@@ -90,15 +90,15 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(k, 1).to_pylist()[0]
 
 
-def blocks_of(placed: DataFrame, carried: list[str]) -> DataFrame:
-    """One row per block: `tree, block, width` (blocks of the tree), `members` in order, at most FANOUT ** HEIGHT of them, and the block's root."""
-    size = FANOUT ** HEIGHT
+def blocks_of(placed: DataFrame, carried: list[str], height: int) -> DataFrame:
+    """One row per block: `tree, block, width` (blocks of the tree), `members` in order, at most FANOUT ** height of them, and the block's root."""
+    size = FANOUT ** height
     members = placed.groupBy("tree", F.expr(f"pos div {size}").alias("block"), F.expr(f"(n + {size - 1}) div {size}").alias("width")).agg(
         F.array_sort(F.collect_list(F.struct((F.col("pos") % size).cast("int").alias("place"), "leaf", *carried))).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roots = [subtree([m["leaf"] for m in row["members"]], HEIGHT if row["width"] > 1 else None)[-1][0] for row in _rows(batch)]
+            roots = [_levels(row, height)[-1][0] for row in _rows(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.string())], names=[*batch.schema.names, "digest"])
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
@@ -144,9 +144,9 @@ def exchange(state: DataFrame, span: int) -> DataFrame:
         F.when(above, F.concat("path", F.array(F.struct("at", "run")).cast(PATH))).otherwise(F.col("path")).alias("path"))
 
 
-def tree_paths(leaves: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
+def tree_paths(leaves: DataFrame, order: list[str], carried: list[str], height: int) -> DataFrame:
     """The staged blocks of `leaves(tree, leaf, …)`: `tree, block, width, members` and `root, path` of the block."""
-    blocks = blocks_of(in_order(leaves, order), carried)
+    blocks = blocks_of(in_order(leaves, order), carried, height)
     tops = butterfly(blocks).select("tree", "block", F.col("digest").alias("root"), "path")
     return staged(blocks.drop("digest").join(tops, ["tree", "block"]), "paths")
 
@@ -155,40 +155,50 @@ def _steps(path: list[dict]) -> list[tuple[int, list[str]]]:
     return [(step["at"], step["run"]) for step in path]
 
 
-def _subroots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _levels(row: dict, height: int) -> list[list[str]]:
+    """The levels of a block: all of them where its tree has more blocks, else up to the root."""
+    return subtree([m["leaf"] for m in row["members"]], height if row["width"] > 1 else None)
+
+
+def _subroots(height: int):
     kind = pa.list_(pa.struct([("at", pa.int32()), ("run", pa.list_(pa.string()))]))
-    for batch in batches:
-        for row in _rows(batch):
-            levels = subtree([m["leaf"] for m in row["members"]], HEIGHT if row["width"] > 1 else None)
-            paths = [path_of(levels, place) + _steps(row["path"]) for place in range(len(row["members"]))]
-            yield pa.record_batch({
-                "tree": pa.array([m["name"] for m in row["members"]], pa.string()), "n_blocks": pa.array([m["n_blocks"] for m in row["members"]], pa.int64()),
-                "whole": pa.array([row["root"]] * len(paths), pa.string()),
-                "above": pa.array([[{"at": at, "run": run} for at, run in path] for path in paths], kind)})
-
-
-def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in _rows(batch):
-            members, above = row["members"], _steps(row["path"]) + _steps(row["above"])
-            levels = subtree([m["leaf"] for m in members], HEIGHT if row["width"] > 1 else None)
-            paths = [path_of(levels, place) + above for place in range(len(members))]
-            folded = [fold(m["claimed"] or m["leaf"], path) for m, path in zip(members, paths)]
-            yield pa.record_batch({
-                "doc_id": pa.array([m["doc_id"] for m in members], pa.int64()), "leaf": pa.array([m["leaf"] for m in members]),
-                "subroot": pa.array([row["root"]] * len(members)), "root": pa.array([row["whole"]] * len(members)),
-                "proof": pa.array([[sibling for at, run in path for sibling in (*run[:at], *run[at + 1:])] for path in paths], pa.list_(pa.string())),
-                "folded_root": pa.array(folded)})
-
-
-def manifest(docs: DataFrame, claimed: Column | None = None) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                levels = _levels(row, height)
+                paths = [path_of(levels, place) + _steps(row["path"]) for place in range(len(row["members"]))]
+                yield pa.record_batch({
+                    "tree": pa.array([m["name"] for m in row["members"]], pa.string()), "n_blocks": pa.array([m["n_blocks"] for m in row["members"]], pa.int64()),
+                    "whole": pa.array([row["root"]] * len(paths), pa.string()),
+                    "above": pa.array([[{"at": at, "run": nodes} for at, nodes in path] for path in paths], kind)})
+    return run
+
+
+def _proofs(height: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                members, above = row["members"], _steps(row["path"]) + _steps(row["above"])
+                levels = _levels(row, height)
+                paths = [path_of(levels, place) + above for place in range(len(members))]
+                folded = [fold(m["claimed"] or m["leaf"], path) for m, path in zip(members, paths)]
+                yield pa.record_batch({
+                    "doc_id": pa.array([m["doc_id"] for m in members], pa.int64()), "leaf": pa.array([m["leaf"] for m in members]),
+                    "subroot": pa.array([row["root"]] * len(members)), "root": pa.array([row["whole"]] * len(members)),
+                    "proof": pa.array([[sibling for at, nodes in path for sibling in (*nodes[:at], *nodes[at + 1:])] for path in paths], pa.list_(pa.string())),
+                    "folded_root": pa.array(folded)})
+    return run
+
+
+def manifest(docs: DataFrame, claimed: Column | None = None, *, height: int = HEIGHT) -> DataFrame:
     """One row per row of `docs`: `doc_id, leaf, subroot, root, proof, folded_root, verified`.
 
     A leaf is the digest of `doc_id, source, lang, n_chars, text`; null fields count as `-`. Leaves of a source (null is a source, the first) go by
     `doc_id`, null first; rows with one `doc_id` by their leaf, so that repeated rows, which have equal leaves, may change places without
     any effect on a root. `proof` holds the siblings from the bottom up, from left to right. `folded_root` follows from
     the leaf of the text `claimed` (default: the text itself; null: the text is null) and these siblings; `verified` says whether it is `root`.
-    Columns of other names don't count. An empty table has no rows and no root.
+    Columns of other names don't count. An empty table has no rows and no root. Blocks hold FANOUT ** `height` leaves.
     """
     ship_package(docs.sparkSession)
     ids = F.col("doc_id").cast("long")
@@ -196,10 +206,10 @@ def manifest(docs: DataFrame, claimed: Column | None = None) -> DataFrame:
     leaf, other = leaf_digest(*fixed, F.col("text")), leaf_digest(*fixed, F.col("text") if claimed is None else claimed)
     leaves = docs.select(F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")).alias("tree"), ids.alias("doc_id"),
                          leaf.alias("leaf"), F.when(other != leaf, other).alias("claimed"))
-    blocks = tree_paths(leaves, ["doc_id", "leaf"], ["doc_id", "claimed"])
+    blocks = tree_paths(leaves, ["doc_id", "leaf"], ["doc_id", "claimed"], height)
     tops = blocks.filter("block = 0").select(F.lit("").alias("tree"), F.col("root").alias("leaf"), F.col("tree").alias("name"), F.col("width").alias("n_blocks"))
-    sources = tree_paths(tops, ["name"], ["name", "n_blocks"])
-    sources = staged(sources.mapInArrow(_subroots, f"tree string, n_blocks long, whole string, above {PATH}"), "sources")
+    sources = tree_paths(tops, ["name"], ["name", "n_blocks"], height)
+    sources = staged(sources.mapInArrow(_subroots(height), f"tree string, n_blocks long, whole string, above {PATH}"), "sources")
     whole = join_copies(blocks, sources, "tree", "n_blocks").select("members", "width", "root", "path", "whole", "above")
-    rows = whole.mapInArrow(_proofs, "doc_id long, leaf string, subroot string, root string, proof array<string>, folded_root string")
+    rows = whole.mapInArrow(_proofs(height), "doc_id long, leaf string, subroot string, root string, proof array<string>, folded_root string")
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -10,6 +10,7 @@ third of the table is spread over the words that follow it. Text is never shuffl
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,6 @@ CHUNK = 1 << 23
 OUT_ROWS = 1 << 14
 #: Shares that the windows of one first word are spread over.
 BUCKETS = 64
-#: Ranks of a language are cut per salt first; a salt holds about this many phrases.
-SALT_ROWS = 1_000_000
 
 BLANK, STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09]] = True
@@ -184,7 +183,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     kept = scored.join(within, ["lang", "phrase"], "left").filter(f"longer IS NULL OR 100 * longer < {cover} * a")
 
     kept = staged(kept.drop("longer", "m"), "collocations")
-    salts = max(1, kept.count() // SALT_ROWS)
+    salts = max(1, math.isqrt(kept.count() // top))  # a salt, and all that the salts leave over, are then about equally large
     order = "ORDER BY score DESC, a DESC, phrase"
     if salts > 1:
         kept = (kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
