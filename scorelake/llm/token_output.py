@@ -66,11 +66,19 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits as ids of 16 bits; an error if one needs more."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    if wide.max(initial=0) >= 1 << 16:
+        raise ValueError("an id of 65,536 or above does not fit into the matrix")
+    return wide.astype("<u2").tobytes()
+
+
 def _ids(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end, kind = encoder(path).encode, end_id.to_bytes(4, "little"), pa.binary()
         for batch in slices(batches, "text"):
-            ids = [np.frombuffer(code(t or "") + end, dtype="<u4").astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
+            ids = [_narrow(code(t or "") + end) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "uid": batch.column("uid"), "box": batch.column("box"),
                                    "named": batch.column("named"), "ids": pa.array(ids, kind)})
     return run
@@ -102,7 +110,7 @@ def write_packed(docs: DataFrame, path: str, folder: str, *, width: int = 1024,
     """Write shards of `ids` (rows of `width` unsigned 16-bit ids), with, over the rows in turn: `segments` per row, `cu_lengths`
     (0, then the end of each segment), `resets` (where positions begin again at 0), and `doc_ids`, `starts` of the segments.
 
-    Null and empty texts are the end id alone. Ids must be below 65,536. Every row of the table is written once.
+    Null and empty texts are the end id alone. Ids of 65,536 or above are an error. Every row of the table is written once.
     """
     spark = docs.sparkSession
     ship_package(spark)

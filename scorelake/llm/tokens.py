@@ -17,18 +17,23 @@ WORDS, LONGEST = 1 << 17, 40
 
 
 class Encoder:
-    """Ids of a byte-level BPE given as the JSON file of the `tokenizers` library; strings of special tokens are ordinary text."""
+    """Ids of a byte-level BPE given as the JSON file of the `tokenizers` library, as it gives them by default: added tokens within a
+    text are cut out first and have their own ids."""
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+        added = spec.get("added_tokens", [])
+        if any(t.get(how) for t in added for how in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = {t["content"]: np.asarray([t["id"]], dtype="<u4").tobytes() for t in added}
+        self._cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         # printable bytes stand for themselves, the others for the code points from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-        ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.added}
         self._encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
 
@@ -42,6 +47,11 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if any(token in text for token in self.added):
+            return b"".join([self.added.get(part) or self._ordinary(part) for part in self._cuts.split(text)])
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if _PLAIN.search(text):
             return np.asarray(self._encode(text), dtype="<u4").tobytes()
         known, parts = self._known, text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]

@@ -16,16 +16,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["a", " ", "  ", "\n", " the", "don't", " ", " ", "9", "é", "!?", "\x1c", "\x00", "\U0001f600", "\t"]), max_size=25))
+@given(st.lists(st.sampled_from(["a", " ", "  ", "\n", " the", "don't", " ", " ", "9", "é", "!?", "\x1c", "\x00", "\U0001f600", "\t", "<|endoftext|>", "<|"]), max_size=25))
 def test_ids_are_the_librarys(parts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     text = "".join(parts)
     assert np.frombuffer(Encoder_().encode(text), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
@@ -92,3 +89,10 @@ def test_packing(documents, awkward, nothing, tokenizer, pack):
     assert check(pack(documents, PATH).collect(), documents.collect(), tokenizer) > 0.97
     check(pack(awkward, PATH).collect(), awkward.collect(), tokenizer)
     assert pack(nothing, PATH).collect() == []
+
+
+def test_added_tokens_and_wide_ids(tokenizer):
+    for text in ("a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> x<|endoftext|><|endoftext|>", "<|endoftext"):
+        assert np.frombuffer(Encoder_().encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        token_output._narrow(np.array([1, 1 << 16], dtype="<u4").tobytes())
