@@ -6,8 +6,8 @@ all pairs under that distance share a key. Sets of similarity 0.8 differ in a fi
 probability of 2e-6, the more similar ones less.
 
 Links are confirmed on the full sets, so that only real links join documents. In the group of a key every member is paired with the
-group's smallest (a star, not all pairs), and members far from that one with their closest partner. These pairs span families:
-all members that may be alike are in one. Where confirmed links don't join a whole family, its members outside the largest component
+group's smallest (a star, not all pairs). For members far from that one, pairs are added until every two members that may be alike are
+joined by a chain of pairs, cell by cell. These pairs span families: all members that may be alike are in one. Where confirmed links don't join a whole family, its members outside the largest component
 are compared with all its members, sets in hand, in cells of bounded size that give back one link per component at most. Texts with
 equal sets are one member.
 """
@@ -132,25 +132,63 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iter
         yield rest
 
 
+def _joined(labels: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """Labels after the labels of each pair are made one."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        x, y = top(x), top(y)
+        parent[max(x, y)] = min(x, y)
+    values, place = np.unique(labels, return_inverse=True)
+    return np.array([top(v) for v in values.tolist()], dtype=np.int64)[place]
+
+
+def bridges(apart: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs (row, column) no more than FAR apart that join all rows and columns which a chain of such pairs joins.
+
+    `one` and `two` are the labels of rows and columns; equal labels are joined already. First every row and column gives its closest partner of
+    another label, then, round by round, every set of joined ones gives its closest pair to the outside (Boruvka), until none is left.
+    """
+    n, first = len(one), True
+    while True:
+        outside = np.where(one[:, None] == two, 99, apart)
+        found: dict[tuple[int, int], int] = {}
+        for i, j in ((np.arange(n), outside.argmin(axis=1)), (outside.argmin(axis=0), np.arange(len(two)))):
+            gap = outside[i, j]
+            found |= {(x, y): g for x, y, g in zip(i.tolist(), j.tolist(), gap.tolist()) if g <= FAR}
+        if not found:
+            return
+        if not first:  # the closest pair of each label is enough
+            best: dict[int, tuple[int, tuple[int, int]]] = {}
+            for pair, gap in found.items():
+                for label in (int(one[pair[0]]), int(two[pair[1]])):
+                    best[label] = min(best.get(label, (99, pair)), (gap, pair))
+            found = {pair: gap for gap, pair in best.values()}
+        yield from found
+        labels = _joined(np.concatenate([one, two]), [(int(one[i]), int(two[j])) for i, j in found])
+        one, two, first = labels[:n], labels[n:], False
+
+
 def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each cell, for every member the closest partner that is not tied to the same hub."""
+    """Of each cell, pairs that join all members which pairs under FAR join; members tied to one hub are joined already."""
     for group in _whole_groups(batches, ["key", "low", "high"]):
         rep, tie, block, sketch = (group.column(c).to_numpy() for c in ("rep", "tie", "block", "sketch"))
         one, two = np.flatnonzero(block == group.column("low")[0].as_py()), np.flatnonzero(block == group.column("high")[0].as_py())
         if len(one) and len(two):
             apart = np.bitwise_count(sketch[one, None] ^ sketch[two]).astype(np.int16)
-            apart[tie[one, None] == tie[two]] = 99
-            found = {}
-            for i, j in ((np.arange(len(one)), apart.argmin(axis=1)), (apart.argmin(axis=0), np.arange(len(two)))):
-                close = apart[i, j] <= FAR
-                a, b = rep[one[i[close]]], rep[two[j[close]]]
-                found |= dict.fromkeys(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
+            pairs = [(int(rep[one[i]]), int(rep[two[j]])) for i, j in bridges(apart, tie[one], tie[two])]
+            found = dict.fromkeys((max(p), min(p)) for p in pairs)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["src", "dst"])
 
 
 def _strays(members: DataFrame) -> DataFrame:
-    """Closest partners of members that are far from their group's hub. Groups are cut into blocks, pairs of blocks are cells."""
+    """Pairs that join members far from their group's hub to all they may be alike to. Groups are cut into blocks, pairs of blocks are cells."""
     blocks = F.floor(F.col("n") / CELL).cast("int") + 1
     laid = (members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -1,10 +1,14 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from scorelake.llm import exact, near
+from scorelake.llm.shingles import shingle_sets
 
 
 def pairs_of(text, words):
@@ -99,3 +103,62 @@ def test_index_persists(spark):
     assert again.rows().count() == 3
     plan = again.rows().select("digest").hint("merge").join(again.rows().select("digest").distinct(), "digest")._jdf.queryExecution().toString()
     assert "Exchange" not in plan
+
+
+def keys_of(texts):
+    """For every text its index keys, each with the word pairs that it is made of."""
+    out = []
+    for text in texts:
+        words = text.split()
+        pairs = [" ".join(p) for p in zip(words, words[1:])]
+        hashes = np.array([shingle_sets(pa.array([p]), 2)[0][0] for p in pairs], dtype=np.uint64)
+        least = [pairs[i] for i in (hashes[:, None] * near.FACTOR + near.SHIFT).argmin(axis=0)]
+        batch = pa.record_batch({"sig": pa.array([near.signature(np.unique(hashes)).tobytes()]), "rep": pa.array([0])})
+        made = next(near._keys(iter([batch]))).column("key").to_pylist()
+        places = [[c * near.WIDTH + k for k in range(near.WIDTH) if k != gone] for c in range(near.CHUNKS) for gone in range(near.WIDTH)]
+        out.append({key: [least[p] for p in at] for key, at in zip(made, places)})
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_far_hubs_hide_no_link(spark, seed):
+    """Two pairs of very close texts with links between the pairs; each key they share has a short text, first in the table, as its hub."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
+
+    def changed(words, n):
+        words = list(words)
+        for i in rng.sample(range(5, 395), n):
+            words[i] = f"x{rng.randrange(10 ** 6)}"
+        return words
+
+    one, two = base, changed(base, 18)
+    texts = [" ".join(t) for t in (one, two, changed(one, 1), changed(two, 1))]
+    made = keys_of(texts[:2])
+    shared = [made[0][key] for key in made[0].keys() & made[1].keys()]
+    short = [" ".join(f"{pair} f{i}q{j}" for j, pair in enumerate(pairs)) for i, pairs in enumerate(shared)]
+    rows = [(100 + i, t) for i, t in enumerate(short)] + [(i + 1, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = near.near_duplicates(docs, words=2).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_near([{"doc_id": i, "text": t} for i, t in rows], 2)
+
+
+def test_bridges_join_what_chains_of_pairs_join():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        n = int(rng.integers(2, 40))
+        apart = rng.integers(0, 60, (n, n))
+        apart = np.minimum(apart, apart.T)
+        labels = rng.integers(0, n, n)
+
+        def classes(pairs):
+            parts = [{("l", int(v))} | {i for i in range(n) if labels[i] == v} for v in set(labels.tolist())]
+            for a, b in pairs:
+                x, y = (next(p for p in parts if v in p) for v in (a, b))
+                if x is not y:
+                    parts.remove(y)
+                    x |= y
+            return sorted(sorted(map(str, p)) for p in parts)
+
+        far = [(i, j) for i in range(n) for j in range(n) if apart[i, j] <= near.FAR]
+        assert classes(near.bridges(apart, labels, labels)) == classes(far)
