@@ -23,8 +23,8 @@ from scorelake.llm.common import slices
 from scorelake.session import ship_package
 
 MARK = "▁"
-#: Words held at once, then the table starts anew; longer words are never held.
-WORDS, LONGEST = 1 << 17, 40
+#: Words held at once; then they are the older ones, of which those met again stay, and the table starts anew. Longer words are never held.
+WORDS, LONGEST = 1 << 18, 40
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -39,6 +39,7 @@ class PieceEncoder:
         size = model.get_piece_size()
         self.text = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        self._decimal = [str(i) for i in range(size)]
         self.ids = {self.text[i]: i for i in plain}
         self.byte_ids = {int(self.text[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self._bytes = {i: bytes([b]) for b, i in self.byte_ids.items()}
@@ -57,7 +58,9 @@ class PieceEncoder:
         known = set(whole)
         self._shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in known), None) for p in whole}
         self._fits: dict[tuple[str, str], bool] = {}
+        self._chars = {c for c in self.ids if len(c) == 1}
         self._words: dict[str, tuple[str, int, str]] = {}
+        self._older: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The library's rule itself: merge the best pair, of equal ones the leftmost, until none is a piece."""
@@ -121,6 +124,8 @@ class PieceEncoder:
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a text whose characters all have pieces."""
         n = len(text)
+        if text in self._shorter:  # a piece that its own merges lead to
+            return [text]
         longest = [1] * n
         for end, size in self._automaton.iter(text):
             if size > longest[end - size + 1]:
@@ -147,6 +152,9 @@ class PieceEncoder:
         return out
 
     def _unit(self, text: str) -> list[int]:
+        if self._chars.issuperset(text):
+            # runs of marks are pieces of equal rank, to which the compatibility of neighbours does not extend
+            return [self.ids[p] for p in (self.merge(text) if MARK * 2 in text else self.backtrack(text))]
         ids, run = [], []
         for char in [*text, ""]:
             if char in self.ids:
@@ -154,17 +162,20 @@ class PieceEncoder:
                 continue
             if run:
                 part = "".join(run)
-                # runs of marks are pieces of equal rank, to which the compatibility of neighbours does not extend
                 ids += [self.ids[p] for p in (self.merge(part) if MARK * 2 in part else self.backtrack(part))]
                 run = []
             ids += [self.byte_ids[b] for b in char.encode()]
         return ids
 
     def _word(self, key: str, unit: str) -> tuple[str, int, str]:
-        ids = self._unit(unit)
-        found = (",".join(map(str, ids)), len(ids), self.pieces_text(ids))
+        found = self._older.get(key)
+        if found is None:
+            ids = self._unit(unit)
+            text = unit.replace(MARK, " ") if self._chars.issuperset(unit) else self.pieces_text(ids)
+            found = (",".join([self._decimal[i] for i in ids]), len(ids), text)
         if len(key) <= LONGEST:
             if len(self._words) >= WORDS:
+                self._older = dict(self._words)
                 self._words.clear()
             self._words[key] = found
         return found
