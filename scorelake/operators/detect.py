@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.boxes import box
+from scorelake.functions.boxes import Box, box
 from scorelake.functions.vocabulary import CLASS_CONFIDENCE, DYNAMIC_LETTER_PREFIX
 from scorelake.operators.greedy import MAX_GROUP, covered_conflict, iou_conflict, suppress
+from scorelake.operators.preconditions import require_columns, require_known, require_unique
 
 CLASS_MAP_LIMIT = 10_000
 
@@ -72,6 +73,16 @@ def map_classes(det: DataFrame, class_map: DataFrame) -> DataFrame:
     return det.join(dim, "class_id", "left")
 
 
+def export_candidates(det: DataFrame, class_map: DataFrame) -> DataFrame:
+    """Candidates of merged detections: class, side and box with an open association. An unknown class stops the job and is named.
+
+    `class_map(class_id, class_name, side)` must have each class once.
+    """
+    names = small_dimension(require_unique(class_map.select("class_id", "class_name", "side"), "class_id"))
+    named = require_known(require_columns(det, "page_id", "class_id", *Box._fields), names, "class_id", "class")
+    return named.withColumns({"matched_ng": F.lit(None).cast("long"), "association_score": F.lit(None).cast("double"), "association_status": F.lit("unmatched")})
+
+
 def unknown_classes(det: DataFrame, class_map: DataFrame) -> DataFrame:
     """Class ids that the map lacks, with their number of detections; empty for valid input."""
     return det.groupBy("class_id").count().join(class_map, "class_id", "left_anti")

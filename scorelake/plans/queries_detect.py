@@ -116,6 +116,14 @@ def class_mapping_join(spark, sf):
     return mapped.groupBy("class_name", "side").agg(F.count("*").alias("n")).fillna("")
 
 
+@query("candidates_export", with_views("det", then=CLASS_MAP_SQL) + """
+SELECT page_id, det_seq, class_name, coalesce(side, '') AS side, x0, y0, x1, y1, conf_pct, 'unmatched' AS association_status FROM det JOIN cm USING (class_id)""")
+def candidates_export(spark, sf):
+    """Every detection must have a known class, or the job fails."""
+    done = detect.export_candidates(load(spark, sf, "det"), class_map(spark))
+    return done.select("page_id", "det_seq", "class_name", "side", *B.box(), "conf_pct", "association_status").fillna("", ["side"])
+
+
 LIMITS = {**CLASS_CONFIDENCE, "trill": 0.9}
 
 
