@@ -11,9 +11,12 @@ from scorelake.functions.boxes import Box, box
 from scorelake.operators.attach import prefixed
 from scorelake.operators.components import connected_components
 from scorelake.operators.greedy_size import split_by_size
-from scorelake.operators.spatial import collapse_copies, grid_join
+from scorelake.operators.spatial import collapse_copies, grid_join, once
 from scorelake.session import ship_package
 
+# Limits between no beam, one, two, three and more beams, in units.
+THICKNESS_UNITS = (0.6, 1.8, 2.7, 3.2)
+
 
 def note_chunks(groups: DataFrame, beams: DataFrame) -> DataFrame:
     """Chunk of every note group that touches a beam: the smallest group id it is connected to.
@@ -137,3 +140,37 @@ def chord_flags(heads: DataFrame) -> DataFrame:
     return heads.groupBy("page_id", "ng").agg(
         (F.count_distinct("rhythm") == 1).alias("same_type"), F.bool_or("has_stem").alias("has_stem"),
         (F.sum(F.when(F.col("stem_up"), 1).otherwise(-1)) > 0).alias("stem_up"), F.count("*").alias("n_heads"))
+
+
+def thickness_classes(beams: DataFrame, *, key: str = "page_id") -> DataFrame:
+    """Class of every beam thickness of a page, from 0 (thinnest) up: the split of all thicknesses into k runs with the least squared error.
+
+    `beams(page_id, beam_id, thickness, unit)` with whole numbers; `unit` is one per page. k comes from the counts between fixed multiples of the
+    unit: a topmost part with less than one in a hundred beams (five at least) is given up and its thicknesses become its lower limit.
+    Thicknesses are counted first, so a page is a short array of distinct pixels with their counts. The best split
+    is found for 1, 2, … k runs in turn over prefix sums (dynamic programming); of equal splits the one with the lowest limits is taken.
+    """
+    counts = beams.groupBy(key, F.col("thickness").cast("long").alias("v")).agg(F.count("*").alias("n"), F.min("unit").alias("unit"))
+    pages = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.min("unit").alias("unit"), F.sum("n").alias("total"), F.max("v").alias("top"))
+    pages = pages.withColumn("limits", F.array(F.lit(1).cast("long"), *(F.floor(F.col("unit") * x) for x in THICKNESS_UNITS)))
+    pages = pages.withColumn("used", F.expr("least(size(limits), size(filter(limits, x -> x <= top)) + 1)"))
+    filled = """coalesce(array_max(filter(sequence(1, used), j -> greatest(total div 100, 5) <= aggregate(
+        filter(h, e -> e.v >= limits[j - 1] AND (j = used OR e.v < limits[j])), 0L, (a, e) -> a + e.n))), 0)"""
+    pages = once(pages, "kept", F.expr(filled)).withColumn("clip", F.expr("CASE WHEN kept < used THEN limits[kept] END"))
+    rows = pages.select(key, "kept", "clip", F.explode("h").alias("e")).groupBy(key, "kept", "clip", F.least("e.v", "clip").alias("v")).agg(F.sum("e.n").alias("n"))
+    rows = rows.groupBy(key, "kept", "clip").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"))
+    sums = "aggregate(h, array(0L), (a, e) -> array_append(a, element_at(a, -1) + {}))"
+    rows = rows.withColumns({"m": F.size("h"), "k": F.least(F.col("kept") + 1, F.size("h"))})
+    rows = once(rows, "s", F.struct(*(F.expr(sums.format(of)).alias(name) for name, of in (("ns", "e.n"), ("ss", "e.n * e.v"), ("qs", "e.n * e.v * e.v")))))
+    part = "double(s.ss[{b}] - s.ss[{a}])"
+    cost = f"(double(s.qs[{{b}}] - s.qs[{{a}}]) - {part} * {part} / double(s.ns[{{b}}] - s.ns[{{a}}]))"  # of the values a + 1 to b
+    first = f"array(transform(sequence(1, m), i -> struct({cost.format(a='0', b='i')} AS c, 0 AS t)))"
+    best = f"array_min(transform(sequence(j - 1, i - 1), t -> struct(element_at(a, -1)[t - 1].c + {cost.format(a='t', b='i')} AS c, t AS t)))"
+    layer = f"transform(sequence(1, m), i -> CASE WHEN i < j THEN struct(double('Infinity') AS c, 0 AS t) ELSE {best} END)"
+    rows = once(rows, "layers", F.expr(f"CASE WHEN k = 1 THEN {first} ELSE aggregate(sequence(2, k), {first}, (a, j) -> array_append(a, {layer})) END"))
+    rows = once(rows, "borders", F.expr("CASE WHEN k = 1 THEN array(m) ELSE aggregate(sequence(k, 2, -1), array(m), (a, j) -> array_prepend(a, layers[j - 1][a[0] - 1].t)) END"))
+    named = rows.select(key, "clip", "borders", F.posexplode("h").alias("at", "e")).select(
+        key, F.col("clip").alias("limit"), F.col("e.v").alias("clipped"), F.expr("size(filter(borders, b -> b <= at))").alias("thickness_class"))
+    tops = named.select(key, "limit").distinct()
+    return (beams.join(tops, key).withColumn("clipped", F.least(F.col("thickness").cast("long"), "limit"))
+            .join(named.drop("limit"), [key, "clipped"]).drop("clipped", "limit"))

@@ -287,3 +287,31 @@ SELECT page_id, staff_index * 100 + slot AS ng, count(DISTINCT rhythm) = 1 AS sa
 def chord_flags(spark, sf):
     heads = load(spark, sf, "note").select("page_id", (F.col("staff_index") * 100 + F.col("slot")).alias("ng"), "rhythm", (F.col("rhythm") < 2).alias("has_stem"), (F.col("pitch") < 0).alias("stem_up"))
     return clusters.chord_flags(heads)
+
+
+# Beams of no, one, two and three bars, a little uneven, and some blots.
+THICK = """be AS (SELECT page_id, ng AS beam_id, unit, CASE WHEN rhythm = 0 THEN 0 ELSE rhythm * unit - 3 + h % 7 + CASE WHEN pk % 97 = 0 THEN 3 * unit ELSE 0 END END AS th FROM note),
+lm AS (SELECT page_id, count(*) AS total, max(th) AS top, [1, floor(min(unit) * 0.6::DOUBLE)::BIGINT, floor(min(unit) * 1.8::DOUBLE)::BIGINT, floor(min(unit) * 2.7::DOUBLE)::BIGINT, floor(min(unit) * 3.2::DOUBLE)::BIGINT] AS li FROM be GROUP BY 1),
+us AS (SELECT *, least(5, len(list_filter(li, lambda x: x <= top)) + 1) AS used FROM lm),
+sg AS (SELECT us.page_id, j, count(be.th) AS n FROM us JOIN (SELECT unnest(range(1, 6)) AS j) ON j <= used JOIN be ON be.page_id = us.page_id AND be.th >= li[j] AND (j = used OR be.th < li[j + 1]) GROUP BY 1, 2),
+kp AS (SELECT us.*, coalesce((SELECT max(j) FROM sg WHERE sg.page_id = us.page_id AND sg.n >= greatest(us.total // 100, 5)), 0) AS kept FROM us),
+cl AS (SELECT be.page_id, beam_id, kept, CASE WHEN kept < used THEN least(th, li[kept + 1]) ELSE th END AS v FROM be JOIN kp USING (page_id)),
+ct AS (SELECT page_id, kept, v, count(*) AS n FROM cl GROUP BY 1, 2, 3),
+px AS (SELECT page_id, kept, v, row_number() OVER w AS i, CAST(sum(n) OVER w AS BIGINT) AS ns, CAST(sum(n * v) OVER w AS BIGINT) AS ss, CAST(sum(n * v * v) OVER w AS BIGINT) AS qs, count(*) OVER (PARTITION BY page_id) AS m FROM ct WINDOW w AS (PARTITION BY page_id ORDER BY v)),
+p0 AS (SELECT page_id, i, ns, ss, qs FROM px UNION ALL SELECT DISTINCT page_id, 0, 0, 0, 0 FROM px),
+co AS (SELECT a.page_id, a.i AS t, b.i AS i, (b.qs - a.qs)::DOUBLE - (b.ss - a.ss)::DOUBLE * (b.ss - a.ss)::DOUBLE / (b.ns - a.ns)::DOUBLE AS c FROM p0 a JOIN p0 b ON b.page_id = a.page_id AND b.i > a.i),
+dp AS (SELECT page_id, 1 AS j, i, c, 0::BIGINT AS t FROM co WHERE t = 0
+  UNION ALL
+  SELECT dp.page_id, dp.j + 1, co.i, min(dp.c + co.c), arg_min(dp.i, {'c': dp.c + co.c, 't': dp.i}) FROM dp JOIN co ON co.page_id = dp.page_id AND co.t = dp.i WHERE dp.j < 6 AND dp.i >= dp.j GROUP BY dp.page_id, dp.j, co.i),
+bt AS (SELECT DISTINCT px.page_id, least(kept + 1, m) AS j, m AS i FROM px
+  UNION ALL
+  SELECT bt.page_id, bt.j - 1, dp.t FROM bt JOIN dp ON dp.page_id = bt.page_id AND dp.j = bt.j AND dp.i = bt.i WHERE bt.j > 1)"""
+
+
+@query("beam_thickness", with_views("note", then=THICK, recursive=True) + """
+SELECT cl.page_id, cl.beam_id, (SELECT count(*) FROM bt WHERE bt.page_id = cl.page_id AND bt.i < px.i) AS thickness_class FROM cl JOIN px ON px.page_id = cl.page_id AND px.v = cl.v""")
+def beam_thickness(spark, sf):
+    blot = F.when(F.col("pk") % 97 == 0, 3 * F.col("unit")).otherwise(0)
+    beams = load(spark, sf, "note").select("page_id", F.col("ng").alias("beam_id"), "unit", F.when(F.col("rhythm") == 0, 0).otherwise(
+        F.col("rhythm") * F.col("unit") - 3 + F.col("h") % 7 + blot).alias("thickness"))
+    return clusters.thickness_classes(beams).select("page_id", "beam_id", F.col("thickness_class").cast("long").alias("thickness_class"))
