@@ -202,6 +202,12 @@ def orphan_issues(images: DataFrame, labels: DataFrame, manifest: DataFrame) ->
         "label_missing_from_manifest": label & ~m, "manifest_missing_image": m & ~i, "manifest_missing_label": m & ~label}, F.col("stem"))
 
 
+def image_size_issues(images: DataFrame, tile_size: int) -> DataFrame:
+    """Generated images (split, stem, width, height of the file) that are not square tiles of `tile_size`; a file without a size counts as one."""
+    right = (F.col("width") == tile_size) & (F.col("height") == tile_size)
+    return flagged(images, {"generated_image_size_mismatch": ~F.coalesce(right, F.lit(False))}, F.col("stem"))
+
+
 def reconcile(stored: DataFrame, recomputed: DataFrame, *, keys: list[str], codes: dict[str, str]) -> DataFrame:
     """Stored statistics that differ from recomputed ones; `codes` maps a column to its issue code."""
     names = list(codes)

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.session import ship_package
+
 # The shape of the annotation file and of the other input files.
 ANNOTATION_FILE = """images array<struct<id:string,filename:string,width:int,height:int,ann_ids:array<string>>>,
 annotations map<string,struct<a_bbox:array<double>,o_bbox:array<double>,cat_id:array<string>,area:double,img_id:string,comments:string>>,
@@ -133,6 +141,42 @@ def list_images(spark: SparkSession, folder: str, pattern: str = "*.png") -> Dat
     return files.select("path", _stem(F.col("path")).alias("stem"), "length", number(17).alias("width"), number(21).alias("height"))
 
 
+#: Bytes of a PNG file that hold its signature, width and height.
+PNG_HEAD = 24
+
+
+def _opened(path: str):
+    """A file of any file system that pyarrow knows, as a stream that reads what it is asked for."""
+    if path.startswith("file:"):
+        return pa_fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    system, inner = pa_fs.FileSystem.from_uri(quote(path, safe=":/"))
+    return system.open_input_file(unquote(inner))
+
+
+def _png_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = []
+        for path in batch.column("path").to_pylist():
+            with _opened(path) as file:
+                head = file.read(PNG_HEAD)
+            good = len(head) == PNG_HEAD and head[:8] == b"\x89PNG\r\n\x1a\n"
+            sizes.append(struct.unpack(">II", head[16:]) if good else (None, None))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([s[i] for s in sizes], pa.int32()) for i in (0, 1))],
+                                         names=[*batch.schema.names, "width", "height"])
+
+
+def image_headers(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
+    """Image files like `list_images`, of which only the first bytes are read: Spark lists the files, tasks open each for its header.
+
+    The work depends on the number of files, not on their size. Files that are no PNG have neither width nor height; Spark lists no
+    empty files.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    ship_package(spark)
+    listed = files.select("path", _stem(F.col("path")).alias("stem"), "length")
+    return listed.mapInArrow(_png_sizes, "path string, stem string, length bigint, width int, height int")
+
+
 def hash_inputs(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.current_timestamp().alias("read_at"))

@@ -128,3 +128,22 @@ def test_score_text(spark, tmp_path):
     import xml.etree.ElementTree as ET
     ET.fromstring("".join(lines))
     score.write_musicxml(score.musicxml_lines(measures), str(tmp_path / "xml"))
+
+
+def test_image_headers_read_no_image(spark, tmp_path):
+    """Sparse files of 64 MB and odd names; only headers are opened, and wrong sizes are raised."""
+    folder = tmp_path / "images of a set" / "train"
+    folder.mkdir(parents=True)
+    for name, (width, height), size in (("a.png", (1024, 1024), 1 << 26), ("b c%.png", (321, 123), 1 << 26), ("d.png", (1024, 1024), 24)):
+        with open(folder / name, "wb") as file:
+            file.write(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + width.to_bytes(4, "big") + height.to_bytes(4, "big"))
+            file.truncate(size)
+    (folder / "e.png").write_bytes(b"no image")
+    (folder / "f.png").write_bytes(b"")
+    (folder / "g.txt").write_bytes(b"text")
+    found = readers.image_headers(spark, str(tmp_path / "images of a set"))
+    assert {r["stem"]: (r["length"], r["width"], r["height"]) for r in found.collect()} == {
+        "a": (1 << 26, 1024, 1024), "b c%": (1 << 26, 321, 123), "d": (24, 1024, 1024), "e": (8, None, None)}
+    assert "struct<path:string,length:bigint>" in found._jdf.queryExecution().executedPlan().toString()
+    wrong = quality.image_size_issues(found.withColumn("split", F.lit("train")), 1024)
+    assert {(r["code"], r["context"]) for r in wrong.collect()} == {("generated_image_size_mismatch", s) for s in ("b c%", "e")}
