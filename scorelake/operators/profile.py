@@ -13,14 +13,17 @@ from scorelake.session import ship_package
 
 
 def zscores(profile: DataFrame) -> DataFrame:
-    """z-score of the row counts of each zone (page_id, zone, y, n), with an empty row added at both ends."""
-    n = F.col("n").cast("long")
-    stats = profile.groupBy("page_id", "zone").agg(
-        (F.count("*") + 2).alias("rows"), F.sum(n).alias("s"), F.sum(n * n).alias("ss"))
+    """z-score of the row counts of each zone (page_id, zone, y, n), with an empty row added at both ends.
+
+    A zone is bounded by the height of its page, so its sums are a window. A join of the sums would let the planner, which does not see how many rows
+    an `explode` makes, send the whole profile through the driver as a broadcast.
+    """
+    n, zone = F.col("n").cast("long"), W.partitionBy("page_id", "zone")
+    sums = profile.filter("page_id IS NOT NULL AND zone IS NOT NULL").withColumns({
+        "rows": F.count("*").over(zone) + 2, "s": F.sum(n).over(zone), "ss": F.sum(n * n).over(zone)})
     mean = F.col("s") / F.col("rows")
     std = F.sqrt(F.col("rows") * F.col("ss") - F.col("s") * F.col("s")) / F.col("rows")
-    return profile.join(stats, ["page_id", "zone"]).withColumn("z", F.when(std > 0, (F.col("n") - mean) / std).otherwise(0.0)).drop(
-        "rows", "s", "ss")
+    return sums.withColumn("z", F.when(std > 0, (F.col("n") - mean) / std).otherwise(0.0)).drop("rows", "s", "ss")
 
 
 def find_line_peaks(z: np.ndarray, height: float, distance: int, prominence: float) -> list[int]:
@@ -67,11 +70,12 @@ def staff_line_peaks(profile: DataFrame, *, threshold: float = 0.8, min_distance
         "page_id", "zone", "i", "r.y", "r.z")
     zone = W.partitionBy("page_id", "zone").orderBy("y")
     peaks = peaks.withColumn("gap", F.col("y") - F.lag("y").over(zone))
-    gaps = peaks.groupBy("page_id", "zone").agg(F.array_sort(F.collect_list("gap")).alias("gaps"), F.count("*").alias("n_peaks"))
+    whole = W.partitionBy("page_id", "zone")
+    gaps = peaks.withColumns({"gaps": F.array_sort(F.collect_list("gap").over(whole)), "n_peaks": F.count("*").over(whole)})
     n = F.greatest(F.lit(5), F.rint(F.col("n_peaks") * 0.2).cast("int"))
     usual = F.slice("gaps", F.lit(1), n)
-    gaps = gaps.select("page_id", "zone", (F.aggregate(usual, F.lit(0.0), lambda a, g: a + g) / F.nullif(F.size(usual), F.lit(0))).alias("unit"))
-    grouped = peaks.join(gaps, ["page_id", "zone"]).withColumn(
+    gaps = gaps.withColumn("unit", F.aggregate(usual, F.lit(0.0), lambda a, g: a + g) / F.nullif(F.size(usual), F.lit(0))).drop("gaps", "n_peaks")
+    grouped = gaps.withColumn(
         "grp", F.sum(F.when(F.col("gap") > F.col("unit") * max_gap_ratio, 1).otherwise(0)).over(zone))
     staff = W.partitionBy("page_id", "zone", "grp")
     ranked = grouped.withColumn("k", F.row_number().over(staff.orderBy("y"))).withColumn("size", F.count("*").over(staff))

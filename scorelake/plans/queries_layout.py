@@ -151,7 +151,8 @@ PROFILE = """rp AS (SELECT page_id, staff_index AS zone, y, CASE WHEN y % unit =
 
 
 def _profile(spark, sf):
-    rows = load(spark, sf, "staff").withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(119).cast("long"))))
+    zones = load(spark, sf, "staff").repartition("page_id", "staff_index")  # dealt out before each zone becomes 120 rows
+    rows = zones.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(119).cast("long"))))
     y, page = F.col("y"), F.col("page_id")
     line = (y % F.col("unit") == 3) & ((y > 3) | (page % 3 > 0))
     return rows.select("page_id", F.col("staff_index").alias("zone"), "y", F.when(line, 60 + (page * 7 + y * 13) % 40).otherwise((page + y * 5) % 9).alias("n"))
