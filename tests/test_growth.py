@@ -1,8 +1,11 @@
 """Steps whose cost must grow no faster than their input."""
 
+import random
+import statistics
+
 from pyspark.sql import functions as F
 
-from scorelake.operators import profile
+from scorelake.operators import curves, profile
 
 
 def plan_of(df):
@@ -19,3 +22,17 @@ def test_profile_is_never_broadcast(spark):
     lines = profile.staff_line_peaks(rows)
     assert "Broadcast" not in plan_of(lines)
     assert z.count() == 40 * 120 and lines.groupBy("page_id", "zone").count().count() == 40
+
+
+def test_pixels_move_once(spark):
+    """Column medians, hull and sums of a component come from one shuffle of its pixels."""
+    rng = random.Random(5)
+    pixels = [(p, c, x, rng.randint(0, 9) if x % 4 else None) for p in range(2) for c in range(5) for x in range(12) for _ in range(rng.randint(1, 5))]
+    done = curves.curve_features(spark.createDataFrame(pixels, "page_id long, component long, x long, y long"))
+    assert plan_of(done).count("Exchange") == 1
+    for r in done.collect():
+        mine = [(x, y) for p, c, x, y in pixels if (p, c) == (r["page_id"], r["component"])]
+        medians = {x: statistics.median(y for a, y in mine if a == x and y is not None) for x in range(12) if x % 4}
+        assert (r["area"], r["n_columns"]) == (len(mine), 12)
+        top = min(y for _, y in mine if y is not None)
+        assert r["left_y"] == medians[1] - top  # columns 0 and 1, of which 0 is empty
