@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.boxes import Box, box
 from scorelake.operators.attach import prefixed
-from scorelake.operators.components import connected_components
+from scorelake.operators.components import MAX_LINKS, page_components
 from scorelake.operators.greedy_size import split_by_size
 from scorelake.operators.spatial import collapse_copies, grid_join, once
 from scorelake.session import ship_package
@@ -18,21 +18,17 @@ from scorelake.session import ship_package
 THICKNESS_UNITS = (0.6, 1.8, 2.7, 3.2)
 
 
-def note_chunks(groups: DataFrame, beams: DataFrame) -> DataFrame:
+def note_chunks(groups: DataFrame, beams: DataFrame, *, max_links: int = MAX_LINKS) -> DataFrame:
     """Chunk of every note group that touches a beam: the smallest group id it is connected to.
 
-    Groups and beams are both nodes and an edge joins a group to a beam it touches, so a beam over
-    many groups adds one edge each, not all pairs.
+    A beam is a link between the groups it touches, so a beam over many groups adds one row each, not all pairs.
     """
     # copies of a box touch the same things: one of them stands for all
     reps = collapse_copies(groups, ["page_id"], "ng")
     right, bb = prefixed(collapse_copies(beams, ["page_id"], "beam_id"), "b_")
     touch = grid_join(reps, right, keys=["page_id"], left_region=box(), right_region=bb)
-    node = lambda kind, c: F.struct("page_id", F.lit(kind).alias("kind"), F.col(c).alias("id"))
-    edges = touch.select(node(0, "ng").alias("src"), node(1, "beam_id").alias("dst"))
-    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
-    labels = connected_components(nodes, edges)
-    found = labels.filter("id.kind = 0").select("id.page_id", F.col("id.id").alias("rep"), F.col("label.id").alias("chunk"))
+    found = page_components(touch.select("page_id", F.col("ng").alias("member"), F.col("beam_id").alias("link")), max_links=max_links)
+    found = found.select("page_id", F.col("member").alias("rep"), F.col("label").alias("chunk"))
     named = reps.withColumnRenamed("ng", "rep").join(found, ["page_id", "rep"])
     return groups.select("page_id", "ng", *box()).join(named, ["page_id", *Box._fields]).select("page_id", "ng", "chunk")
 

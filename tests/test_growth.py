@@ -5,7 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from scorelake.operators import curves, profile
+from scorelake.operators import components, curves, profile
 
 
 def plan_of(df):
@@ -36,3 +36,24 @@ def test_pixels_move_once(spark):
         assert (r["area"], r["n_columns"]) == (len(mine), 12)
         top = min(y for _, y in mine if y is not None)
         assert r["left_y"] == medians[1] - top  # columns 0 and 1, of which 0 is empty
+
+
+def test_components_of_a_page_in_one_pass(spark, monkeypatch):
+    """Ordinary pages take no rounds over all links; both ways agree with a plain search, also where members and links have equal ids."""
+    rng = random.Random(7)
+    links = [(p, rng.randint(0, 40), rng.randint(0, 30)) for p in range(6) for _ in range(45)]
+    want = set()
+    for p in range(6):
+        left = {m for q, m, _ in links if q == p}
+        while left:
+            group, more = set(), {min(left)}
+            while more:
+                group |= more
+                shared = {k for q, m, k in links if q == p and m in group}
+                more = {m for q, m, k in links if q == p and k in shared} - group
+            want |= {(p, m, min(group)) for m in group}
+            left -= group
+    df = spark.createDataFrame(links, "page_id long, member long, link long")
+    assert {tuple(r) for r in components.page_components(df, max_links=10).collect()} == want
+    monkeypatch.setattr(components, "connected_components", None)
+    assert {tuple(r) for r in components.page_components(df).collect()} == want
