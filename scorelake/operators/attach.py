@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.boxes import Box, box, intersection_area
+from scorelake.operators.components import MAX_LINKS
+from scorelake.operators.greedy_size import split_by_size
 from scorelake.operators.ranking import quantiles
 from scorelake.operators.spatial import collapse_copies, grid_join
-from scorelake.session import cut_lineage
+from scorelake.session import cut_lineage, ship_package
 
 
 def prefixed(df: DataFrame, prefix: str) -> tuple[DataFrame, Box]:
@@ -42,23 +47,62 @@ def accidental_to_note(accidentals: DataFrame, heads: DataFrame) -> DataFrame:
         *accidentals.columns, F.col("b.ng").alias("ng"), F.col("b").isNull().alias("maybe_key_signature"))
 
 
-def next_accidental(accidentals: DataFrame) -> DataFrame:
-    """The accidental that starts within half a width to the right at the same height: edges of chains."""
+def next_accidental(accidentals: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """The accidental that starts within half a width to the right at the same height: edges of chains, from the accidentals `of` (all)."""
     others = collapse_copies(accidentals.withColumnRenamed("acc_id", "next_id"), ["page_id"], "next_id")
     right, nb = prefixed(others, "n_")
     b = box()
     probe = Box(b.x1, b.y0, b.x1 + F.floor((b.x1 - b.x0) / 2), b.y1)
-    pairs = grid_join(accidentals, right, keys=["page_id"], left_region=probe, right_region=nb,
+    pairs = grid_join(accidentals if of is None else of, right, keys=["page_id"], left_region=probe, right_region=nb,
                       condition=intersection_area(probe, nb) > 0)  # the probe starts right of its own box
     return pairs.groupBy("page_id", "acc_id").agg(F.min("next_id").alias("next_id"))
 
 
-def chain_ends(edges: DataFrame) -> DataFrame:
-    """The end of the chain each accidental is in, and the number of steps to it: list ranking by pointer doubling.
-
-    `edges(page_id, acc_id, next_id)` has one row per accidental that is followed by another. Every round each pointer skips to where its target
-    points, so that chains of n take log2(n) rounds. Edges lead to the right, so there are no rings.
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """End of each chain and the steps to it; edges come page by page."""
+    def ends() -> pa.RecordBatch:
+        known: dict = {}
+        for start in ahead:
+            path, at = [], start
+            while at in ahead and at not in known:
+                path.append(at)
+                at = ahead[at]
+            end, steps = known.get(at, (at, 0))
+            for node in reversed(path):
+                steps += 1
+                known[node] = (end, steps)
+        columns = ([page] * len(ahead), list(ahead), [known[a][0] for a in ahead], [known[a][1] for a in ahead])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page_id", "acc_id", "end_id", "steps"])
+
+    page, ahead, kinds = None, {}, ()
+    for batch in batches:
+        kinds = [*(batch.schema.field(c).type for c in ("page_id", "acc_id", "acc_id")), pa.int64()]
+        for at, acc, following in zip(*(batch.column(c).to_pylist() for c in ("page_id", "acc_id", "next_id"))):
+            if at != page:
+                if ahead:
+                    yield ends()
+                page, ahead = at, {}
+            ahead[acc] = following
+    if ahead:
+        yield ends()
+
+
+def chain_ends(edges: DataFrame, *, max_links: int = MAX_LINKS) -> DataFrame:
+    """The end of the chain each accidental is in, and the number of steps to it.
+
+    `edges(page_id, acc_id, next_id)` has one row per accidental that is followed by another. The chains of a page are followed in one pass in the
+    page's task; pages of more than `max_links` edges are ranked by pointer doubling. Edges lead to the right, so there are no rings.
     """
+    ship_package(edges.sparkSession)
+    small, large = split_by_size(cut_lineage(edges.select("page_id", "acc_id", "next_id")), ["page_id"], max_links)
+    kind = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    out = small.repartition("page_id").sortWithinPartitions("page_id").mapInArrow(
+        _followed, f"page_id {kind['page_id']}, acc_id {kind['acc_id']}, end_id {kind['acc_id']}, steps bigint")
+    return out if large is None else out.unionByName(_doubled(large))
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    """List ranking by pointer doubling: every round each pointer skips to where its target points, so that chains of n take log2(n) rounds."""
     state = cut_lineage(edges.select("page_id", "acc_id", F.col("next_id").alias("end_id"), F.lit(1).cast("long").alias("steps")))
     while True:
         ahead = state.select("page_id", F.col("acc_id").alias("end_id"), F.col("end_id").alias("further"), F.col("steps").alias("more"))
@@ -79,18 +123,20 @@ def accidental_chains(attached: DataFrame, heads: DataFrame) -> DataFrame:
     ties), unless the chord is a `single_head`, no head is at that height (`no_head`), or the head is `taken`: by its own accidental,
     or by the farther one in a chain.
     """
-    edges = next_accidental(attached.select("page_id", "acc_id", *box())).join(attached.filter("ng IS NULL").select("page_id", "acc_id"), ["page_id", "acc_id"], "left_semi")
-    ends = chain_ends(edges)
+    attached = cut_lineage(attached)  # the join with the heads runs once for the five places that read its outcome
+    boxes = ["page_id", "acc_id", *box()]
+    ends = chain_ends(next_accidental(attached.select(*boxes), attached.filter("ng IS NULL").select(*boxes)))
     ending = attached.select("page_id", F.col("acc_id").alias("end_id"), F.col("ng").alias("end_ng"))
-    rows = attached.join(ends, ["page_id", "acc_id"], "left").withColumns({"end_id": F.coalesce("end_id", "acc_id"), "steps": F.coalesce("steps", F.lit(0))})
+    probe = accidental_probe(box(), F.col("shift"))
+    rows = attached.select("page_id", "acc_id", "ng", probe.y0.alias("py0"), probe.y1.alias("py1"))
+    rows = rows.join(ends, ["page_id", "acc_id"], "left").withColumns({"end_id": F.coalesce("end_id", "acc_id"), "steps": F.coalesce("steps", F.lit(0))})
     rows = rows.join(ending, ["page_id", "end_id"])
     heads = collapse_copies(heads, ["page_id", "chord_id"], "ng")
     sizes = heads.groupBy("page_id", "chord_id").agg(F.count("*").alias("n_heads"))
     chord = heads.join(sizes, ["page_id", "chord_id"]).select("page_id", F.col("ng").alias("end_ng"), "chord_id", "n_heads")
     rows = cut_lineage(rows.join(chord, ["page_id", "end_ng"], "left"))
 
-    probe = accidental_probe(box(), F.col("shift"))
-    reach = rows.filter("ng IS NULL AND n_heads > 1").select("page_id", "acc_id", "steps", "chord_id", probe.y0.alias("py0"), probe.y1.alias("py1"))
+    reach = rows.filter("ng IS NULL AND n_heads > 1").select("page_id", "acc_id", "steps", "chord_id", "py0", "py1")
     shared = F.least("py1", "y1") - F.greatest("py0", "y0")
     met = reach.join(heads, ["page_id", "chord_id"]).filter(shared > 0)
     best = met.groupBy("page_id", "acc_id", "steps").agg(F.min(F.struct((-shared).alias("s"), F.col("ng").alias("ng")))["ng"].alias("head"))

@@ -5,7 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from scorelake.operators import components, curves, profile
+from scorelake.operators import attach, components, curves, profile
 
 
 def plan_of(df):
@@ -57,3 +57,16 @@ def test_components_of_a_page_in_one_pass(spark, monkeypatch):
     assert {tuple(r) for r in components.page_components(df, max_links=10).collect()} == want
     monkeypatch.setattr(components, "connected_components", None)
     assert {tuple(r) for r in components.page_components(df).collect()} == want
+
+
+def test_chains_of_a_page_in_one_pass(spark, monkeypatch):
+    """Ordinary pages take no rounds of pointer doubling; larger ones do, with the same outcome."""
+    edges, want = [], set()
+    for page, length in enumerate((3, 9, 40)):
+        edges += [(page, k, k + 1) for k in range(length)]
+        want |= {(page, k, length, length - k) for k in range(length)}
+    df = spark.createDataFrame(edges, "page_id int, acc_id bigint, next_id bigint")
+    columns = ["page_id", "acc_id", "end_id", "steps"]
+    assert {tuple(r) for r in attach.chain_ends(df, max_links=10).select(*columns).collect()} == want
+    monkeypatch.setattr(attach, "_doubled", None)
+    assert {tuple(r) for r in attach.chain_ends(df).select(*columns).collect()} == want
