@@ -5,7 +5,9 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from scorelake.operators import attach, components, curves, profile
+from scorelake.streaming import pages
 
 
 def plan_of(df):
@@ -70,3 +72,22 @@ def test_chains_of_a_page_in_one_pass(spark, monkeypatch):
     assert {tuple(r) for r in attach.chain_ends(df, max_links=10).select(*columns).collect()} == want
     monkeypatch.setattr(attach, "_doubled", None)
     assert {tuple(r) for r in attach.chain_ends(df).select(*columns).collect()} == want
+
+
+def test_a_batch_asks_the_state_store_once(spark, tmp_path):
+    """A step of several jobs does not sort out the delivered pages again for each of them."""
+    seen = []
+
+    def step(rows):
+        seen.append(plan_of(rows))
+        return rows
+
+    folder, schema = str(tmp_path), "page_id bigint, det_seq bigint"
+    spark.createDataFrame([(0, 0), (0, 1), (0, 1)], schema).coalesce(1).write.parquet(folder + "/in")
+    pages.process_pages(pages.read_pages(spark, folder + "/in", schema), folder + "/out", folder + "/checkpoint", step=step).awaitTermination()
+    assert seen and not any("StateStore" in p or "Dedup" in p for p in seen)
+    assert spark.read.parquet(folder + "/out").count() == 2
+
+
+def test_streams_are_made_once_for_merging(spark):
+    assert plan_of(queries()["token_merge"](spark, "/root/testdata/sf0.001")).count("FileScan parquet") == 1
