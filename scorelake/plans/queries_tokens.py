@@ -87,8 +87,10 @@ def token_merge(spark, sf):
     """Streams with `|` between the notes of a chord, merged back to one string per line."""
     s = T.symbol_streams(lines(spark, sf))
     base = F.col("pos") * 100 + F.col("chord_pos") * 2
-    bars = s.filter("chord_pos > 0").select("line_id", (base - 1).alias("seq"), F.lit("|").alias("rhythm"), F.lit("nonote").alias("pitch"), F.lit("nonote").alias("lift"))
-    return T.merge_streams(s.select("line_id", base.alias("seq"), "rhythm", "pitch", "lift").unionByName(bars))
+    row = lambda seq, *texts: F.struct(seq.alias("seq"), *(t.alias(n) for t, n in zip(texts, ("rhythm", "pitch", "lift"))))
+    symbol = row(base, F.col("rhythm"), F.col("pitch"), F.col("lift"))
+    bar = row(base - 1, F.lit("|"), F.lit("nonote"), F.lit("nonote"))
+    return T.merge_streams(s.select("line_id", F.inline(F.when(F.col("chord_pos") > 0, F.array(bar, symbol)).otherwise(F.array(symbol)))))
 
 
 VOCAB = [(t, i + 4) for i, t in enumerate(["note-quarter", "note-eighth", "note-half", "rest-quarter", "barline", "clef-G2", "timeSignature-2/4"])]
