@@ -27,8 +27,24 @@ LINE = ("SELECT page_id * 4096 + uid % 4096 AS line_key, uid AS line_id, 'clef-G
 
 
 def lines(spark, sf):
-    out = spark.sql(LINE, li=load(spark, sf, "li"))
-    return out.withColumn("line_id", F.concat_ws("-", "page_id", "line_id")).select("line_id", "text")
+    """The rows of LINE. The eight tokens are one expression over their number: written out, they are more than the JVM compiles."""
+    pk, sk, qty, h = (F.col(c) for c in ("pk", "sk", "qty", "h"))
+    steps = [f"note-{c}" for c in "CDEFGAB"]
+    middles = [f"{sign}{octave}" for sign in ("#", "b", "", "", "") for octave in (4, 5)]
+    ends = [f"_{name}{dot}" for name in ("quarter", "eighth", "thirty", "half") for dot in (".", "", "", "", "")]
+
+    def note(i):
+        return F.concat(music.pick(steps, (pk + i * 3) % 7), music.pick(middles, (sk + i) % 5 * 2 + (qty + i) % 2), music.pick(ends, (h + i) % 4 * 5 + (pk + i) % 5))
+
+    def token(place):
+        i, kind = place["i"], place["kind"]
+        return (F.when(kind == 0, "rest-quarter").when(kind == 1, "barline").when(kind == 2, F.concat(note(i), F.lit("|"), note(i + 1)))
+                .when(kind == 3, F.concat(F.lit("multirest-"), (qty * 2).cast("string"))).when(kind == 4, "tie").otherwise(note(i)))
+
+    key = music.pick(("DM", "EbM", "CM", "F#M", "Xx"), pk % 5)
+    tokens = F.transform(F.array(*(F.struct(F.lit(i).alias("i"), ((h + i * 7) % 8).alias("kind")) for i in range(8))), token)
+    text = F.concat(F.lit("clef-G2 keySignature-"), key, F.lit(" timeSignature-2/3 "), F.array_join(tokens, " "))
+    return load(spark, sf, "li").select(F.concat_ws("-", "page_id", "uid").alias("line_id"), text.alias("text"))
 
 
 BASE = "tl AS (SELECT page_id || '-' || line_id AS line_id, text FROM (" + LINE.replace("{li}", "li") + """)),
