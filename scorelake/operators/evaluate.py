@@ -171,6 +171,7 @@ def prf_semantic(per_class: DataFrame, class_map: DataFrame) -> DataFrame:
 def confusion_matrix(gt: DataFrame, pred: DataFrame, matches: DataFrame, *, background: int,
                      page: str = "page_id") -> DataFrame:
     """Long form (gt_class, pred_class, n); unmatched rows go to the background class."""
+    matches = cut_lineage(matches.select(page, "gt_seq", "pred_seq", "gt_class", "pred_class"))  # read three times
     missed = gt.join(matches.select(page, "gt_seq"), [page, "gt_seq"], "left_anti").select(
         F.col("class_id").alias("gt_class"), F.lit(background).cast("long").alias("pred_class"))
     false = pred.join(matches.select(page, F.col("pred_seq").alias("det_seq")), [page, "det_seq"], "left_anti").select(
@@ -216,29 +217,39 @@ def average_precision(gt: DataFrame, pred: DataFrame, matches: DataFrame, *, pag
     run in two levels over blocks of confidence. Detections of equal confidence form one step.
     """
     hits = matches.select(page, F.col("pred_seq").alias("det_seq"), F.lit(1).alias("hit"))
-    steps = (pred.join(hits, [page, "det_seq"], "left").groupBy("class_id", "confidence")
-             .agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
-             .withColumn("rank", -F.col("confidence")).withColumn("seg", F.floor(F.col("rank") * 1000)))
-    steps = running(steps, keys=["class_id"], segment="seg", order=["rank"], how="sum", value="n", name="cum_n")
-    steps = running(steps, keys=["class_id"], segment="seg", order=["rank"], how="sum", value="hits", name="cum_hits")
-    steps = steps.withColumn("precision", F.col("cum_hits") / F.col("cum_n"))
-    steps = steps.withColumn("conf_seg", F.floor(F.col("confidence") * 1000))
-    envelope = running(steps, keys=["class_id"], segment="conf_seg", order=["confidence"], how="max",
-                       value="precision", name="envelope")
-    area = envelope.groupBy("class_id").agg(F.sum(F.col("envelope") * F.col("hits")).alias("area"))
+    steps = pred.join(hits, [page, "det_seq"], "left").groupBy("class_id", "confidence").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    area = _envelope_area(steps)
     total = gt.groupBy("class_id").agg(F.count("*").alias("n_gt"))
     return total.join(area, "class_id", "left").select(
         "class_id", "n_gt", F.coalesce(F.col("area") / F.col("n_gt"), F.lit(0.0)).alias("ap"))
 
 
+def _envelope_area(steps: DataFrame, keys: Sequence[str] = ("class_id",)) -> DataFrame:
+    """Sum of the precision envelope over the hits of steps `*keys, confidence, n, hits`."""
+    keys = list(keys)
+    steps = steps.withColumn("rank", -F.col("confidence")).withColumn("seg", F.floor(F.col("rank") * 1000))
+    steps = running(steps, keys=keys, segment="seg", order=["rank"], how="sum", value="n", name="cum_n")
+    steps = running(steps, keys=keys, segment="seg", order=["rank"], how="sum", value="hits", name="cum_hits")
+    steps = steps.withColumn("precision", F.col("cum_hits") / F.col("cum_n"))
+    steps = steps.withColumn("conf_seg", F.floor(F.col("confidence") * 1000))
+    envelope = running(steps, keys=keys, segment="conf_seg", order=["confidence"], how="max", value="precision", name="envelope")
+    return envelope.groupBy(*keys).agg(F.sum(F.col("envelope") * F.col("hits")).alias("area"))
+
+
 def mean_average_precision(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float], *,
                            page: str = "page_id") -> DataFrame:
-    """AP per class averaged over IoU thresholds; the thresholds are a fixed short list."""
-    rows = None
-    for threshold in thresholds:
-        ap = average_precision(gt, pred, greedy_match(gt, pred, iou_threshold=threshold, page=page), page=page)
-        rows = ap if rows is None else rows.unionByName(ap)
-    return rows.groupBy("class_id").agg(F.avg("ap").alias("map"))
+    """AP per class averaged over IoU thresholds; the thresholds are a fixed short list.
+
+    The walk takes pairs by falling IoU, so that the matches at a threshold are those at the lowest one that reach it: pairs are made and matched once.
+    """
+    found = greedy_match(gt, pred, iou_threshold=min(thresholds), page=page).select(page, F.col("pred_seq").alias("det_seq"), "iou")
+    reached = F.array(*(F.count(F.when(F.col("iou") >= t, 1)) for t in thresholds))
+    counts = pred.join(found, [page, "det_seq"], "left").groupBy("class_id", "confidence").agg(F.count("*").alias("n"), reached.alias("reached"))
+    steps = cut_lineage(counts.select("class_id", "confidence", "n", F.posexplode("reached").alias("level", "hits")))
+    area = _envelope_area(steps, ["class_id", "level"]).groupBy("class_id").agg(F.sum("area").alias("area"))
+    total = gt.groupBy("class_id").agg(F.count("*").alias("n_gt"))
+    return total.join(area, "class_id", "left").select(
+        "class_id", F.coalesce(F.col("area") / F.col("n_gt") / len(thresholds), F.lit(0.0)).alias("map"))
 
 
 def overlapping_predictions(gt: DataFrame, pred: DataFrame, *, iou_threshold: float = 0.5, page: str = "page_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Order-dependent choices: suppression of overlapping boxes and one-to-one matching.
 
-Both rules walk through rows by priority and let an earlier choice forbid later ones. Groups of
-ordinary size are folded in one expression. Groups beyond `max_group` rows take rounds instead:
+Both rules walk through rows by priority and let an earlier choice forbid later ones. Suppression folds groups of
+ordinary size in one expression, matching walks through them in one sorted pass. Groups beyond `max_group` rows take rounds instead:
 every row that is the best of its whole neighbourhood is decided at once, its rivals leave, and
 the next round works on the rest. The result of the rounds equals the sequential walk, since a row
 without a better undecided rival is chosen there too.
@@ -9,15 +9,17 @@ without a better undecided rival is chosen there too.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.boxes import Box, box, intersection_area, iou
 from scorelake.operators.greedy_size import split_by_size
 from scorelake.operators.spatial import explode_cells
-from scorelake.session import cut_lineage
+from scorelake.session import cut_lineage, ship_package
 
 MAX_GROUP = 2048
 Conflict = Callable[[Box, Box], Column]
@@ -103,22 +105,32 @@ def suppress(df: DataFrame, *, keys: Sequence[str], priority: Sequence[Column],
     return out
 
 
-def _match_fold(pairs: DataFrame, keys: Sequence[str], left: str, right: str, payload: Sequence[str]) -> DataFrame:
-    grouped = pairs.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("prio", left, right, *payload))).alias("rows"))
-    start = F.struct(
-        F.transform(F.filter("rows", lambda _: F.lit(False)), lambda r: r[left]).alias("l"),
-        F.transform(F.filter("rows", lambda _: F.lit(False)), lambda r: r[right]).alias("r"),
-        F.filter("rows", lambda _: F.lit(False)).alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        taken = F.array_contains(acc["l"], row[left]) | F.array_contains(acc["r"], row[right])
-        return F.when(taken, acc).otherwise(F.struct(
-            F.array_append(acc["l"], row[left]).alias("l"), F.array_append(acc["r"], row[right]).alias("r"),
-            F.array_append(acc["out"], row).alias("out")))
-
-    chosen = grouped.select(*keys, F.explode(F.aggregate("rows", start, step)["out"]).alias("m"))
-    return chosen.select(*keys, f"m.{left}", f"m.{right}", *(f"m.{c}" for c in payload))
+def _walked(n_keys: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chosen pairs of groups that arrive one behind the other, best pair first; a side that is NULL is never taken. Holds the ids of one group."""
+    group, lefts, rights = None, set(), set()
+    for batch in batches:
+        keys, chosen = zip(*(batch.column(i).to_pylist() for i in range(n_keys))), []
+        sides = (batch.column(i).to_pylist() for i in (n_keys, n_keys + 1))
+        for i, (key, left, right) in enumerate(zip(keys, *sides)):
+            if key != group:
+                group, lefts, rights = key, set(), set()
+            if left in lefts or right in rights:
+                continue
+            chosen.append(i)
+            if left is not None:
+                lefts.add(left)
+            if right is not None:
+                rights.add(right)
+        yield batch.take(pa.array(chosen, pa.int64()))
+
+
+def _match_walk(pairs: DataFrame, keys: Sequence[str], left: str, right: str, payload: Sequence[str]) -> DataFrame:
+    """Spark brings the pairs of a group together and in order; one pass then keeps the ids that are used up."""
+    ship_package(pairs.sparkSession)
+    columns = [*keys, left, right, *payload]
+    rows = pairs.repartition(*keys).sortWithinPartitions(*keys, "prio").select(*columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(partial(_walked, len(keys)), schema)
 
 
 def _match_rounds(pairs: DataFrame, keys: Sequence[str], left: str, right: str, payload: Sequence[str]) -> DataFrame:
@@ -146,7 +158,7 @@ def match(pairs: DataFrame, *, keys: Sequence[str], left: str, right: str, prior
                         F.struct(*(p.alias(f"p{i}") for i, p in enumerate(priority))).alias("prio"))
     work = cut_lineage(work)  # the join that made the pairs runs once for the size check and the choice
     small, large = split_by_size(work, keys, max_group)
-    out = _match_fold(small, keys, left, right, payload)
+    out = _match_walk(small, keys, left, right, payload)
     if large is not None:
         out = out.unionByName(_match_rounds(large, keys, left, right, payload))
     return out

@@ -6,7 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from scorelake.operators import attach, components, curves, profile, tokens
+from scorelake.operators import attach, components, curves, evaluate, greedy, profile, tokens
 from scorelake.streaming import pages
 
 
@@ -142,3 +142,33 @@ def test_a_batch_reads_its_own_pieces(spark, tmp_path):
     assert done == {(p, 9 if p == 2 else 1, 2 if p == 2 else 1) for p in range(5)} | {(p, 7, 1) for p in range(1000, 1003)}
     assert len(read) == 3 and all("GreaterThanOrEqual(piece" in plan for plan in read)
     assert not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("piece=")]
+
+
+def test_pairs_are_matched_in_one_pass(spark):
+    """Folds in lambdas are never compiled; a null side is never taken, and equal ids of two groups do not meet."""
+    rng = random.Random(9)
+    pairs = [(rng.choice([None, 0, 1]), rng.choice([None, *range(8)]), rng.choice([None, *range(8)]), i) for i in range(120)]
+    done = greedy.match(spark.createDataFrame(pairs, "page_id long, a long, b long, p long").repartition(5), keys=["page_id"], left="a", right="b", priority=[F.col("p")], payload=["p"])
+    assert "lambda" not in plan_of(done)
+    want, used = [], set()
+    for page, a, b, p in pairs:
+        sides = {(page, k, v) for k, v in (("a", a), ("b", b)) if v is not None}
+        if not sides & used:
+            used |= sides
+            want.append((page, a, b, p))
+    assert sorted(map(repr, map(tuple, done.collect()))) == sorted(map(repr, want))
+
+
+def test_levels_of_precision_are_matched_once(spark, monkeypatch):
+    """Matches at a higher IoU are those of the lowest level that reach it; detections of one id count each, as in a join."""
+    rng, calls, match = random.Random(10), [], evaluate.greedy_match
+    boxes = lambda n: [(p, i, i % 2, x, y, x + rng.randint(6, 12), y + rng.randint(6, 12), rng.choice([0.2, 0.5, 0.9]))
+                       for p in range(3) for i in range(n) for x, y in [(rng.randint(0, 30), rng.randint(0, 30))]]
+    schema = "page_id long, {} long, class_id long, x0 long, y0 long, x1 long, y1 long, confidence double"
+    gt, pred = spark.createDataFrame(boxes(25), schema.format("gt_seq")), spark.createDataFrame(boxes(40), schema.format("det_seq"))
+    pred = pred.unionByName(pred.filter("det_seq < 5"))
+    monkeypatch.setattr(evaluate, "greedy_match", lambda *a, **k: calls.append(1) or match(*a, **k))
+    got = {r["class_id"]: r["map"] for r in evaluate.mean_average_precision(gt, pred, (0.5, 0.3, 0.7)).collect()}
+    assert len(calls) == 1
+    each = [{r["class_id"]: r["ap"] for r in evaluate.average_precision(gt, pred, match(gt, pred, iou_threshold=t)).collect()} for t in (0.5, 0.3, 0.7)]
+    assert got.keys() == each[0].keys() and all(abs(got[c] - sum(e[c] for e in each) / 3) < 1e-12 and got[c] > 0 for c in got)
