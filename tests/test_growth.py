@@ -6,7 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from scorelake.operators import attach, components, curves, evaluate, greedy, profile, tokens
+from scorelake.operators import associate, attach, components, curves, evaluate, greedy, profile, tokens
 from scorelake.streaming import pages
 
 
@@ -172,3 +172,32 @@ def test_levels_of_precision_are_matched_once(spark, monkeypatch):
     assert len(calls) == 1
     each = [{r["class_id"]: r["ap"] for r in evaluate.average_precision(gt, pred, match(gt, pred, iou_threshold=t)).collect()} for t in (0.5, 0.3, 0.7)]
     assert got.keys() == each[0].keys() and all(abs(got[c] - sum(e[c] for e in each) / 3) < 1e-12 and got[c] > 0 for c in got)
+
+
+def test_symbols_are_matched_once_and_crowded_cells_in_parts(spark):
+    """The best symbol of a note group needs no second matching of all symbols; equal costs go to the smaller id, with any number of arrays per cell."""
+    rng = random.Random(13)
+    cand = spark.createDataFrame([(p, i, "accent", rng.choice(["above", "below", None]), x, y, x + 4.0, y + 4.0, 0.5) for p in range(2) for i in range(60)
+                                  for x, y in [(float(rng.randrange(0, 300, 10)), float(rng.randrange(0, 120, 10)))]] + [(1, 60, "accent", None, 50.0, None, 54.0, None, 0.5)] * 2,
+                                 "page_id long, cand_seq long, class_name string, side string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    rows = [(p, (1 << 57) + i, x, y, x + 10.0, y + 10.0) for p in range(2) for i in range(90)
+            for x, y in [(float(rng.randrange(0, 300, 20)), float(rng.randrange(20, 100, 20)))]]
+    groups = spark.createDataFrame(rows, "page_id long, ng long, x0 double, y0 double, x1 double, y1 double")
+    found = [associate.associate_symbols(cand, groups, None, max_partners=n) for n in (512, 4)]
+    want = []
+    for c in cand.collect():
+        best = []
+        for p, ng, x0, y0, x1, y1 in rows:
+            known = c["y0"] is not None
+            gaps = {"above": max(0.0, y0 - c["y1"]), "below": max(0.0, c["y0"] - y1)} if known else {"above": 0.0, "below": 0.0}
+            side, dx = c["side"], abs((c["x0"] + c["x1"]) / 2 - (x0 + x1) / 2) / 12.0
+            gap = (gaps[side] if side else max(gaps.values())) / 12.0
+            ok = not side or (c["y0"] + c["y1"] <= y0 + y1 if side == "above" else c["y0"] + c["y1"] >= y0 + y1)
+            if p == c["page_id"] and dx <= 2.5 and gap <= 4.0 and ok:
+                best.append((dx + 0.35 * gap + 0.15 * 0.5, ng))
+        want.append((c["page_id"], c["cand_seq"], *(min(best)[::-1] if best else (None, None))))
+    for df in found:
+        got = df.select("page_id", "cand_seq", "matched_ng", "association_cost").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    plan = plan_of(associate.keep_best(found[0]))
+    assert plan.count("MapInArrow") == 1
