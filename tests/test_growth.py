@@ -6,7 +6,8 @@ import statistics
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from scorelake.operators import associate, attach, components, curves, evaluate, greedy, profile, tokens
+from scorelake.operators import associate, attach, components, curves, evaluate, greedy, profile, spans, tokens
+from scorelake.plans import queries_spans
 from scorelake.streaming import pages
 
 
@@ -201,3 +202,13 @@ def test_symbols_are_matched_once_and_crowded_cells_in_parts(spark):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     plan = plan_of(associate.keep_best(found[0]))
     assert plan.count("MapInArrow") == 1
+
+
+def test_places_of_notes_carry_no_accidentals(spark, monkeypatch):
+    """Accidentals of all notes are carried for the events alone, and slurs, ties and wedges meet their notes in one join."""
+    sf, calls, locate = "/root/testdata/sf0.001", [], spans.locate
+    _, placed = queries_spans._score(spark, sf)
+    assert "Window" not in plan_of(placed)
+    monkeypatch.setattr(spans, "locate", lambda *a: calls.append(1) or locate(*a))
+    located = queries_spans._located(spark, sf, placed)
+    assert len(calls) == 1 and {"slur", "tie"} <= {r["kind"] for r in located.select("kind").distinct().collect()}
