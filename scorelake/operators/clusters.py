@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +77,8 @@ def ward_labels(points: np.ndarray, limit: float, copies: np.ndarray | None = No
     """
     n = len(points)
     label, size = np.arange(n), np.ones(n) if copies is None else copies.astype(float)
-    d2 = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1) * (2 * size[:, None] * size / (size[:, None] + size))
+    x, y = points[:, 0], points[:, 1]
+    d2 = ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) * (2 * size[:, None] * size / (size[:, None] + size))
     np.fill_diagonal(d2, np.inf)
     for _ in range(n - 1):
         i, j = divmod(int(d2.argmin()), n)
@@ -93,6 +97,45 @@ def ward_labels(points: np.ndarray, limit: float, copies: np.ndarray | None = No
     return label
 
 
+def _clustered(n_keys: int, distance: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union boxes of the clusters of each group. Groups arrive one behind the other, in the order of their centers; one is held until it ends."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        starts = _group_starts(rows, n_keys)
+        yield from _unions(rows.slice(0, starts[-1]), starts[:-1], distance)
+        held = rows.slice(starts[-1])
+    if held is not None:
+        yield from _unions(held, np.zeros(1, dtype=np.int64), distance)
+
+
+def _group_starts(rows: pa.Table, n_keys: int) -> np.ndarray:
+    """Where the first `n_keys` columns change; NULL is a key like any other."""
+    new = np.zeros(len(rows), dtype=bool)
+    new[0] = True
+    for i in range(n_keys):
+        codes = rows.column(i).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _unions(rows: pa.Table, starts: np.ndarray, distance: float) -> Iterator[pa.RecordBatch]:
+    if not len(starts):
+        return
+    points = np.column_stack([rows["cx"].to_numpy(), rows["cy"].to_numpy()]).astype(float)
+    copies, label = rows["n"].to_numpy(), np.zeros(len(rows), dtype=np.int64)
+    for a, b in zip(starts, [*starts[1:], len(rows)]):
+        label[a:b] = a + ward_labels(points[a:b], distance, copies[a:b])
+    order = np.argsort(label, kind="stable")
+    cuts = np.flatnonzero(np.diff(label[order], prepend=-1))
+    out = {"page_id": rows["page_id"].combine_chunks().take(pa.array(order[cuts]))}
+    for name, join in (("x0", np.minimum), ("y0", np.minimum), ("x1", np.maximum), ("y1", np.maximum), ("n", np.add)):
+        out[name] = pa.array(join.reduceat(rows[name].to_numpy()[order], cuts), rows[name].type, from_pandas=True)
+    yield pa.record_batch(out)
+
+
 def merge_nearby(boxes: DataFrame, distance: float, *, x_factor: float = 1.0, y_factor: float = 1.0, max_group: int = 1024) -> DataFrame:
     """Union box of every cluster of nearby box centers of a page.
 
@@ -105,17 +148,15 @@ def merge_nearby(boxes: DataFrame, distance: float, *, x_factor: float = 1.0, y_
     points = boxes.groupBy("page_id", (b.cx * x_factor).alias("cx"), (b.cy * y_factor).alias("cy")).agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cx", "cy"], ignore_index=True)
-        labels = ward_labels(pdf[["cx", "cy"]].to_numpy(dtype=float), distance, pdf["n"].to_numpy())
-        out = pdf.assign(label=labels).groupby(["page_id", "label"], as_index=False).agg(
-            x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"), n=("n", "sum"))
-        return out[["page_id", "x0", "y0", "x1", "y1", "n"]]
-
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("page_id", "x0", "y0", "x1", "y1", "n"))
+    def solved(rows: DataFrame, by: list[str]) -> DataFrame:
+        rows = rows.repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last("cx"), F.asc_nulls_last("cy"))
+        rows = rows.select(*by, "cx", "cy", "x0", "y0", "x1", "y1", "n")
+        return rows.mapInArrow(partial(_clustered, len(by), distance), schema)
+
     small, large = split_by_size(points, ["page_id"], max_group)
-    out = small.groupBy("page_id").applyInPandas(solve, schema)
+    out = solved(small, ["page_id"])
     if large is None:
         return out
     from scorelake.operators.prefix import islands, running
@@ -128,7 +169,7 @@ def merge_nearby(boxes: DataFrame, distance: float, *, x_factor: float = 1.0, y_
         large = islands(large, keys=keys, segment="seg", order=order,
                         starts=F.col("before").isNull() | (F.col(axis) - F.col("before") > distance), name=name).drop("before")
         keys = [*keys, name]
-    return out.unionByName(large.groupBy(*keys).applyInPandas(solve, schema))
+    return out.unionByName(solved(large, keys))
 
 
 def chord_flags(heads: DataFrame) -> DataFrame:
