@@ -51,41 +51,79 @@ def sample_per_class(rows: DataFrame, *, class_col: str, image_col: str, n: int,
     return one.withColumn("__r", rank).filter(F.col("__r") <= n).select(class_col, image_col, "__row.*")
 
 
-def select_subset(tiles: DataFrame, *, class_count: int, per_class: int, total: int, negatives: int, seed: int) -> DataFrame:
+def select_subset(tiles: DataFrame, *, class_count: int, per_class: int, total: int, negatives: int, seed: int, keep: int = 64) -> DataFrame:
     """A small set of tiles that shows every class `per_class` times, filled up to `total`, plus negatives.
 
-    `tiles(tile_id, annotation_ids, class_ids, n_clipped, padded, is_negative)`, with one class per annotation.
+    `tiles(tile_id, annotation_ids, class_ids, n_clipped, padded, is_negative)`, with one class per annotation and unique ids.
     Classes are visited in order (a fixed short list). Each visit takes a bounded top-n of tiles not
     chosen yet: few annotations that are already shown, nothing clipped, no padding, about three of
-    the class, few boxes, then hash order. Only the chosen tiles, at most `total`, reach the driver.
+    the class, few boxes, then hash order. What is shown already is known on the way only, so one pass ranks the tiles of all visits by
+    the rest, and the first `keep` of each visit reach the driver: those that show nothing again are its best. A visit whose list runs out of
+    such tiles, and does not hold all there are, asks the whole table.
     """
-    ranked = cut_lineage(tiles.withColumn("__h", hash_rank_key("tile_id", seed=seed)))  # visited once per class
-    positives, empty = ranked.filter(~F.col("is_negative")), ranked.filter("is_negative")
+    from pyspark.sql import Window as W
+
+    ranked = tiles.withColumn("__h", hash_rank_key("tile_id", seed=seed))
+    of_class = lambda c: F.size(F.filter("class_ids", lambda x: x == c))
+    order = [F.col("n_clipped") > 0, F.col("padded"), F.size("annotation_ids"), F.col("__h")]
+    keep, fill, clear, empty = max(keep, negatives), class_count, -1, -2
+
+    visit = lambda v, off: F.struct(F.lit(v).cast("long").alias("visit"), off.alias("off"))
+    classes = F.filter(F.array_distinct("class_ids"), lambda c: (c >= 0) & (c < class_count))
+    shows = F.concat(F.transform(classes, lambda c: F.struct(c.cast("long").alias("visit"), F.abs(of_class(c) - 3).alias("off"))), F.array(visit(fill, F.lit(0))))
+    lacks = F.when(F.col("padded"), F.array(visit(empty, F.lit(0)))).otherwise(F.array(visit(empty, F.lit(0)), visit(clear, F.lit(0))))
+    visits = ranked.filter("is_negative IS NOT NULL").select(
+        "tile_id", *(o.alias(f"__o{i}") for i, o in enumerate(order)), "is_negative", F.explode(F.when(F.col("is_negative"), lacks).otherwise(shows)).alias("v"))
+    # negatives go by their hash alone
+    by = [F.when(~F.col("is_negative"), c) for c in (F.col("__o0"), F.col("__o1"), F.col("v.off"), F.col("__o2"))]
+    first = visits.select("v.visit", "tile_id", *(c.alias(f"__b{i}") for i, c in enumerate(by)), "__o3").withColumn(
+        "r", F.row_number().over(W.partitionBy("visit").orderBy(*(f"__b{i}" for i in range(len(by))), "__o3"))).filter(F.col("r") <= keep)
+    lists: dict[int, list[str]] = {}
+    for row in sorted(first.select("visit", "r", "tile_id").collect()):
+        lists.setdefault(row.visit, []).append(row.tile_id)
+    listed = cut_lineage(tiles.filter(F.col("tile_id").isin(sorted({t for ids in lists.values() for t in ids}))))
+    annotations = {r.tile_id: r.annotation_ids for r in listed.filter(~F.col("is_negative")).select("tile_id", "annotation_ids").collect()}
+
     chosen: list[str] = []
-    shown: list[str] = []
-
-    def take(pool: DataFrame, extra: list, n: int) -> int:
-        seen = F.size(F.array_intersect("annotation_ids", F.from_json(F.lit(json.dumps(shown)), "array<string>")))
-        order = [seen, F.col("n_clipped") > 0, F.col("padded"), *extra, F.size("annotation_ids"), "__h"]
-        fresh = pool.filter(~F.col("tile_id").isin(chosen)) if chosen else pool
-        picked = fresh.orderBy(*order).select("tile_id", "annotation_ids").take(n)
-        for row in picked:
-            chosen.append(row.tile_id)
-            shown.extend(v for v in row.annotation_ids if v not in shown)
+    shown: set[str] = set()
+    asked: list[DataFrame] = []
+
+    def again(tile_id: str) -> int:
+        return len(shown.intersection(annotations[tile_id]))
+
+    def take(visit: int, n: int) -> int:
+        ids = lists.get(visit, [])
+        picked = sorted((t for t in ids if t not in chosen), key=again)[:n]
+        if len(ids) == keep and (len(picked) < n or any(map(again, picked))):
+            picked = whole_table(visit, n)
+        chosen.extend(picked)
+        shown.update(a for t in picked for a in annotations[t])
         return len(picked)
 
+    def whole_table(visit: int, n: int) -> list[str]:
+        if not asked:
+            asked.append(cut_lineage(ranked.filter(~F.col("is_negative"))))
+        seen = F.size(F.array_intersect("annotation_ids", F.from_json(F.lit(json.dumps(sorted(shown))), "array<string>")))
+        pool = asked[0].filter(~F.col("tile_id").isin(chosen))
+        extra = []
+        if visit != fill:
+            pool, extra = pool.filter(of_class(visit) > 0), [F.abs(of_class(visit) - 3)]
+        rows = pool.orderBy(seen, *order[:2], *extra, *order[2:]).select("tile_id", "annotation_ids").take(n)
+        annotations.update((r.tile_id, r.annotation_ids) for r in rows)
+        return [r.tile_id for r in rows]
+
     for class_id in range(class_count):
-        of_class = F.size(F.filter("class_ids", lambda c: c == class_id))
-        if take(positives.filter(of_class > 0), [F.abs(of_class - 3)], per_class) < per_class:
+        if take(class_id, per_class) < per_class:
             raise ValueError(f"fewer than {per_class} tiles show class {class_id}")
     if len(chosen) > total:
         raise ValueError(f"{len(chosen)} tiles are needed for all classes, more than {total}")
-    if len(chosen) < total:
-        take(positives, [], total - len(chosen))
-    clear = empty.filter(~F.col("padded"))
-    pool = clear if len(clear.select("tile_id").take(negatives)) == negatives else empty
-    sample = pool.orderBy("__h").limit(negatives)
-    return positives.filter(F.col("tile_id").isin(chosen)).unionByName(sample).drop("__h")
+    take(fill, total - len(chosen))
+    pool = lists.get(clear, []) if len(lists.get(clear, [])) >= negatives else lists.get(empty, [])
+    result = listed.filter(F.col("tile_id").isin(chosen + pool[:negatives]))
+    if asked:
+        known = {t for ids in lists.values() for t in ids}
+        result = result.unionByName(asked[0].filter(F.col("tile_id").isin([t for t in chosen if t not in known])).drop("__h"))
+    return result
 
 
 def limit_images(images: DataFrame, n: int) -> DataFrame:
