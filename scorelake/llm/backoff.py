@@ -6,7 +6,8 @@ given up. Counts leave the scored document out, or every n-gram of the corpus wo
 Relations: slices of documents explode into n-grams and are reduced to distinct ones with counts before anything is shuffled. Counts are
 dealt out by hash into parts, where the count table of a part is made and joined to the n-grams asked for; each slice gets its counts
 back in the order in which it sent its n-grams, and scores are summed per document. A frequent n-gram is one entry per slice,
-never a row per occurrence. Rows carry packed arrays, as n-grams are many and short.
+never a row per occurrence. Rows carry packed arrays, as n-grams are many and short: an n-gram travels as the ranks of its words among the
+most frequent ones, rarer words as hashes, once per row. The receiver makes the n-gram's hash from that again, so the ranks only shorten rows.
 """
 
 from __future__ import annotations
@@ -27,42 +28,84 @@ from scorelake.session import ship_package
 ALPHA = 0.4
 #: Longest n-gram; bytes of text of a slice and of a part. On a large table both grow, so that slices times parts stays small.
 ORDER, SLICE_BYTES, PART_BYTES = 3, 2 << 20, 8 << 20
-#: Stands for all words, with their number as its count.
-ALL = U64(0)
+#: In the place of an n-gram that would leave its document.
+NONE = U64(0)
+#: Words that travel as ranks, of the most frequent ones in each slice; the code of a rarer word, and the most parts that fit beside three codes.
+FREQUENT, OF_SLICE, RARE, MAX_PARTS = 65535, 8192, 65535, 65535
+
+
+def _extended(whole: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    return mix(whole * LEFT + word * RIGHT + U64(k))
+
+
+class Frequent:
+    """Ranks of frequent words, by their hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.rank = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.rank]
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(words), RARE, dtype=np.uint16)
+        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == words, self.rank[at], RARE).astype(np.uint16)
 
 
 class Grams:
-    """The n-grams of a slice: for each order the hashes at all places, 0 where an n-gram would leave its document."""
+    """The n-grams of a slice: for each order the hashes at all places, NONE where an n-gram would leave its document, and the distinct ones."""
 
     def __init__(self, texts: pa.Array, order: int):
         data, offsets = text_bytes(texts)
-        h, self.at = words(data, offsets)
-        n = len(h)
+        self.words, self.at = words(data, offsets)
+        n = len(self.words)
         ends = np.repeat(self.at[1:], np.diff(self.at))
         self.doc = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
-        self.orders, whole = [], np.full(n, 1, dtype=U64)
+        self.orders, self.distinct, self.first, self.counts, whole = [], [], [], [], np.full(n, 1, dtype=U64)
         for k in range(order):
-            whole = mix(whole * LEFT + np.concatenate([h[k:], np.zeros(min(k, n), dtype=U64)]) * RIGHT + U64(k))
-            self.orders.append(np.where(np.arange(n) + k < ends, np.maximum(whole, U64(1)), ALL))
-        every = np.concatenate([x[x != ALL] for x in self.orders]) if n else np.zeros(0, dtype=U64)
-        self.distinct, self.counts = np.unique(every, return_counts=True)
-        self.distinct = np.concatenate([[ALL], self.distinct])
-        self.counts = np.concatenate([[n], self.counts])
-
-    def parts(self, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places in `distinct` by part, and where each part begins."""
-        part = (self.distinct % U64(count)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(count + 1))
-
-    def scores(self, totals: np.ndarray) -> np.ndarray:
+            whole = _extended(whole, np.concatenate([self.words[k:], np.zeros(min(k, n), dtype=U64)]), k)
+            self.orders.append(np.where(np.arange(n) + k < ends, np.maximum(whole, U64(1)), NONE))
+            found, first, counts = np.unique(self.orders[k], return_index=True, return_counts=True)
+            some = found != NONE
+            self.distinct.append(found[some])
+            self.first.append(first[some])
+            self.counts.append(counts[some])
+
+    def parts(self, frequent: Frequent, count: int) -> Iterator[tuple[int, list[np.ndarray], list[list[np.ndarray]]]]:
+        """For each part the places in `distinct` of each order, and the codes of their words one by one.
+
+        An n-gram lies in the part of its first rare word, so that this word travels once, or else of its own hash.
+        """
+        code, placed = frequent.codes(self.words), []
+        for k, (hashes, first) in enumerate(zip(self.distinct, self.first)):
+            at, key = hashes, np.zeros(len(hashes), dtype=U64)
+            for j in range(k, -1, -1):
+                c = code[first + j]
+                at = np.where(c == RARE, self.words[first + j], at)
+                key |= c.astype(U64) << U64(16 * (k - j))
+            part = at % U64(count)
+            order = np.argsort(key | (part << U64(48)), kind="stable")
+            placed.append((order, np.searchsorted(part[order], np.arange(count + 1))))
+        for p in np.flatnonzero(sum(np.diff(cuts) for _, cuts in placed)).tolist():
+            places = [order[cuts[p]:cuts[p + 1]] for order, cuts in placed]
+            yield p, places, [[code[self.first[k][x] + j] for j in range(k + 1)] for k, x in enumerate(places)]
+
+    def rare(self, places: list[np.ndarray], codes: list[list[np.ndarray]]) -> np.ndarray:
+        """Hashes of the rare words of the given places, in the order in which their codes come."""
+        return np.concatenate([self.words[self.first[k][x] + j][codes[k][j] == RARE] for k, x in enumerate(places) for j in range(k + 1)])
+
+    def scores(self, totals: list[np.ndarray], all_words: int) -> np.ndarray:
         """Sum of the words' log scores of each document, from the corpus counts of `distinct`."""
         sizes = np.diff(self.at)
-        rest = np.maximum((totals[0] - sizes)[self.doc], 1).astype(np.float64)
+        rest = np.maximum((all_words - sizes)[self.doc], 1).astype(np.float64)
         others = []
-        for x in self.orders:
+        for x, distinct, total in zip(self.orders, self.distinct, totals):
             _, inverse, own = np.unique(mix(x ^ mix(self.doc.astype(U64) + U64(1))), return_inverse=True, return_counts=True)
-            others.append(np.where(x != ALL, totals[np.searchsorted(self.distinct, x)] - own[inverse], 0))
+            other = np.zeros(len(x), dtype=np.int64)
+            inside = x != NONE
+            other[inside] = total[np.searchsorted(distinct, x[inside])] - own[inverse[inside]]
+            others.append(other)
         score = np.log(1.0 / rest)
         place = np.arange(len(self.doc)) - self.at[self.doc]
         for k in range(1, len(self.orders) + 1):  # ending at each word; longer ones replace shorter ones
@@ -77,32 +120,111 @@ class Grams:
         return sums[self.at[1:]] - sums[self.at[:-1]]
 
 
-def packed(ascending: np.ndarray) -> bytes:
-    """Ascending numbers as their differences, each in as few bytes as the largest needs."""
-    steps = np.diff(ascending, prepend=ALL)
-    width = max((int(steps.max()).bit_length() + 7) // 8, 1)
-    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def _widened(data: bytes) -> bytes:
+    return pa.Codec("zstd", 3).decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes, then the next ones, up to the last that is used."""
+    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    used = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return b"".join(_framed(_squeezed(wide[:, i].tobytes())) for i in range(used))
+
+
+def _framed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + data
+
+
+def numbers(data: bytes, n: int) -> np.ndarray:
+    out, at, i = np.zeros((n, 8), dtype=np.uint8), 0, 0
+    while at < len(data):
+        size = int.from_bytes(data[at:at + 4], "little")
+        out[:, i] = np.frombuffer(_widened(data[at + 4:at + 4 + size]), dtype=np.uint8)
+        at, i = at + 4 + size, i + 1
+    return out.view("<u8").ravel()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, data[0])
-    wide = np.zeros((len(steps), 8), dtype=np.uint8)
-    wide[:, :data[0]] = steps
-    return np.cumsum(wide.view("<u8").ravel(), dtype=U64)
+def packed(codes: list[list[np.ndarray]], rare: np.ndarray) -> list[bytes]:
+    """Sorted codes of n-grams by order: the first word by its steps, the second by its steps below an equal first one, the third as it is."""
+    known, at = np.unique(rare, return_inverse=True)
+    out = [np.array([*(len(c[0]) for c in codes), len(known), len(rare)], dtype="<u8").tobytes(), planes(np.diff(known, prepend=NONE)), planes(at)]
+    for columns in codes:
+        for j, c in enumerate(columns):
+            wide = c.astype(np.int64)
+            out.append(planes(wide if j > 1 else np.diff(wide, prepend=0) if not j else np.where(_same(columns[0]), np.diff(wide, prepend=0), wide)))
+    return out
 
 
-def _requests(order: int, parts: int, size: int):
+def _same(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[False], values[1:] == values[:-1]])[:len(values)]
+
+
+def unpacked(data: list[bytes], frequent: Frequent) -> np.ndarray:
+    """Hashes of the packed n-grams, all of one order behind those of the order below."""
+    sizes = np.frombuffer(data[0], dtype="<u8").astype(np.int64).tolist()
+    known = np.cumsum(numbers(data[1], sizes[-2]), dtype=U64)
+    rare, left, at = known[numbers(data[2], sizes[-1]).astype(np.int64)], 0, 3
+    hashes = np.concatenate([frequent.hashes, np.zeros(RARE + 1 - len(frequent.hashes), dtype=U64)])
+    out = []
+    for k, n in enumerate(sizes[:-2]):
+        whole = np.full(n, 1, dtype=U64)
+        for j in range(k + 1):
+            c = numbers(data[at + j], n).astype(np.int64)
+            if j == 0:
+                first = c = np.cumsum(c)
+            elif j == 1 and n:
+                start = np.maximum.accumulate(np.where(_same(first), 0, np.arange(n)))
+                steps = np.cumsum(c)
+                c = steps - steps[start] + c[start]
+            word, hidden = hashes[c], np.flatnonzero(c == RARE)
+            word[hidden] = rare[left:left + len(hidden)]
+            left += len(hidden)
+            whole = _extended(whole, word, j)
+        out.append(np.maximum(whole, U64(1)))
+        at += k + 1
+    return np.concatenate(out)
+
+
+def small_numbers(values: np.ndarray) -> bytes:
+    """Counts, mostly below 255, which are one byte."""
+    big = values >= 255
+    return _squeezed(np.where(big, 255, values).astype(np.uint8).tobytes() + values[big].astype("<u8").tobytes())
+
+
+def of_small(data: bytes, n: int) -> np.ndarray:
+    raw = _widened(data)
+    out = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, dtype="<u8", offset=n).astype(np.int64)
+    return out
+
+
+def _frequent(size: int):
+    """Counts of a slice's most frequent words, and of all its words under NULL."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", size):
+            found, counts = np.unique(words(*text_bytes(batch.column("text")))[0], return_counts=True)
+            best = np.argsort(-counts, kind="stable")[:OF_SLICE]
+            yield pa.record_batch({"word": pa.array([None, *found[best].view(np.int64).tolist()], pa.int64()),
+                                   "n": pa.array([counts.sum(), *counts[best]], pa.int64())})
+    return run
+
+
+def _requests(order: int, frequent: Frequent, parts: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(slices(batches, "text", size)):
             grams = Grams(batch.column("text"), order)
-            places, cuts = grams.parts(parts)
-            used = np.flatnonzero(np.diff(cuts))
-            chosen = [places[cuts[p]:cuts[p + 1]] for p in used]
-            yield pa.record_batch({
-                "part": pa.array(used.astype(np.int32)), "slice": pa.array([first + k] * len(used), pa.int64()),
-                "grams": pa.array([packed(grams.distinct[c]) for c in chosen], pa.binary()),
-                "counts": pa.array([zlib.compress(grams.counts[c].astype("<u4").tobytes(), 1) for c in chosen], pa.binary())})
+            used, sent, counts = [], [], []
+            for p, places, codes in grams.parts(frequent, parts):
+                used.append(p)
+                sent.append(packed(codes, grams.rare(places, codes)))
+                counts.append(small_numbers(np.concatenate([grams.counts[i][x] for i, x in enumerate(places)])))
+            yield pa.record_batch({"part": pa.array(used, pa.int32()), "slice": pa.array([first + k] * len(used), pa.int64()),
+                                   "grams": pa.array(sent, pa.list_(pa.binary())), "counts": pa.array(counts, pa.binary())})
     return run
 
 
@@ -112,14 +234,14 @@ def _slices(size: int):
         for k, batch in enumerate(slices(batches, "text", size)):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             yield pa.record_batch({
-                "slice": pa.array([first + k]), "part": pa.array([-1], pa.int32()), "blob": pa.array([zlib.compress(b"".join(texts), 1)], pa.binary()),
+                "slice": pa.array([first + k]), "part": pa.array([-1], pa.int32()), "blob": pa.array([_squeezed(b"".join(texts))], pa.binary()),
                 "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 "sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))})
     return run
 
 
 def _texts(row: dict) -> pa.Array:
-    data, ends = zlib.decompress(row["blob"]), np.cumsum([0, *row["sizes"]]).tolist()
+    data, ends = _widened(row["blob"]), np.cumsum([0, *row["sizes"]]).tolist()
     return pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
 
 
@@ -137,34 +259,37 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
         yield held
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(frequent: Frequent):
     """The count table of each part, joined to what each slice asked for."""
-    for rows in _groups(batches, "part"):
-        asked = [unpacked(r["grams"]) for r in rows]
-        counts = [np.frombuffer(zlib.decompress(r["counts"]), dtype="<u4") for r in rows]
-        _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate(counts)).astype("<u8")[inverse]
-        cuts = np.cumsum([0, *(len(a) for a in asked)])
-        for r, a, b in zip(rows, cuts, cuts[1:]):
-            check = zlib.crc32(r["grams"]).to_bytes(4, "little")
-            yield pa.record_batch({"slice": pa.array([r["slice"]]), "part": pa.array([r["part"]], pa.int32()),
-                                   "blob": pa.array([check + zlib.compress(totals[a:b].tobytes(), 1)], pa.binary())})
-
-
-def _scored(order: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "part"):
+            asked = [unpacked(r["grams"], frequent) for r in rows]
+            counts = [of_small(r["counts"], len(a)) for r, a in zip(rows, asked)]
+            _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+            totals = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)[inverse]
+            cuts = np.cumsum([0, *(len(a) for a in asked)])
+            for r, hashes, a, b in zip(rows, asked, cuts, cuts[1:]):
+                check = zlib.crc32(hashes.tobytes()).to_bytes(4, "little")
+                yield pa.record_batch({"slice": pa.array([r["slice"]]), "part": pa.array([r["part"]], pa.int32()),
+                                       "blob": pa.array([check + small_numbers(totals[a:b])], pa.binary())})
+    return run
+
+
+def _scored(order: int, frequent: Frequent, parts: int, all_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, "slice"):
             blobs = {r["part"]: r["blob"] for r in rows if r["part"] >= 0}
             texts = next(r for r in rows if r["part"] < 0)
             grams = Grams(_texts(texts), order)
-            places, cuts = grams.parts(parts)
-            totals = np.zeros(len(grams.distinct), dtype=np.int64)
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                mine = places[cuts[p]:cuts[p + 1]]
-                if zlib.crc32(packed(grams.distinct[mine])) != int.from_bytes(blobs[p][:4], "little"):
+            totals = [np.zeros(len(d), dtype=np.int64) for d in grams.distinct]
+            for p, places, _ in grams.parts(frequent, parts):
+                hashes = np.concatenate([grams.distinct[k][x] for k, x in enumerate(places)])
+                if p not in blobs or zlib.crc32(hashes.tobytes()) != int.from_bytes(blobs[p][:4], "little"):
                     raise ValueError("the input gave other rows when it was read again; stage it first")
-                totals[mine] = np.frombuffer(zlib.decompress(blobs[p][4:]), dtype="<u8")
-            sizes, sums = np.diff(grams.at), grams.scores(totals)
+                found, cuts = of_small(blobs[p][4:], len(hashes)), np.cumsum([0, *map(len, places)])
+                for k, x in enumerate(places):
+                    totals[k][x] = found[cuts[k]:cuts[k + 1]]
+            sizes, sums = np.diff(grams.at), grams.scores(totals, all_words)
             yield pa.record_batch({
                 "doc_id": pa.array(texts["doc_ids"], pa.int64()), "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums, pa.float64()),
                 "per_word": pa.array([s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())], pa.float64())})
@@ -175,16 +300,20 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, slice_bytes: int = S
     """`doc_id, n_words, log_score, per_word` per document: the sum of natural logarithms of its words' scores, and their mean.
 
     Words are runs without white space, A-Z as a-z. Texts without words (or null) have the sum 0 and no mean. Words that no other document has
-    score ALPHA times the share of one word. Repeated rows and null ids are documents of their own. `docs` is read twice and must
+    score ALPHA times the share of one word. Repeated rows and null ids are documents of their own. `docs` is read three times and must
     give the same rows in the same order, as a table does; otherwise the job fails.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = size // part_bytes + 1
-    asked = rows.mapInArrow(_requests(order, parts, slice_bytes), "part int, slice long, grams binary, counts binary")
-    answers = asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answers, "slice long, part int, blob binary")
+    parts = min(size // part_bytes + 1, MAX_PARTS)
+    common = rows.mapInArrow(_frequent(slice_bytes), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    common = common.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(FREQUENT + 1).toArrow()
+    all_words = common["n"][0].as_py() if len(common) else 0
+    frequent = Frequent(common["word"].slice(1).to_numpy().view(U64))
+    asked = rows.mapInArrow(_requests(order, frequent, parts, slice_bytes), "part int, slice long, grams array<binary>, counts binary")
+    answers = asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answers(frequent), "slice long, part int, blob binary")
     texts = rows.mapInArrow(_slices(slice_bytes), "slice long, part int, blob binary, doc_ids array<long>, sizes array<long>")
     both = texts.unionByName(answers, allowMissingColumns=True)
     return both.repartition("slice").sortWithinPartitions("slice").mapInArrow(
-        _scored(order, parts), "doc_id long, n_words long, log_score double, per_word double")
+        _scored(order, frequent, parts, all_words), "doc_id long, n_words long, log_score double, per_word double")

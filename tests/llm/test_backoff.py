@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from scorelake.llm import backoff
@@ -53,3 +55,24 @@ def test_registered_query_uses_triples(spark, documents):
     found = sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in got)
     assert [x[:2] for x in found] == [x[:2] for x in want]
     assert [x[2] for x in found] == pytest.approx([x[2] for x in want], rel=1e-9, abs=1e-6)
+
+
+def test_requests_are_short_and_exact():
+    """An n-gram of frequent words travels in less than five bytes (a hash of its own took seven), rare words as hashes; the hashes come back."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{int(x)}" if x < 2000 else f"rare{rng.integers(1 << 40)}" for x in rng.pareto(0.6, 4000)) for _ in range(10)]
+    grams = backoff.Grams(pa.array(["", None, "one", *texts]), 3)
+    found, counts = np.unique(grams.words, return_counts=True)
+    frequent = backoff.Frequent(found[np.argsort(-counts, kind="stable")[:2000]])
+    sent, seen = 0, [set(), set(), set()]
+    for p, places, codes in grams.parts(frequent, 4):
+        data = backoff.packed(codes, grams.rare(places, codes))
+        want = np.concatenate([grams.distinct[k][x] for k, x in enumerate(places)])
+        assert (backoff.unpacked(data, frequent) == want).all()
+        sent += sum(map(len, data))
+        for k, x in enumerate(places):
+            seen[k].update(x.tolist())
+    assert [len(x) for x in seen] == [len(d) for d in grams.distinct]
+    assert sent < 5 * sum(map(len, seen))
+    numbers = np.array([0, 1, 254, 255, 256, 1 << 40])
+    assert (backoff.of_small(backoff.small_numbers(numbers), 6) == numbers).all()
