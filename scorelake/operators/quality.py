@@ -66,15 +66,19 @@ def descriptor_issues(names: DataFrame, class_map: DataFrame) -> DataFrame:
                  F.col("class_id"))
 
 
-def source_issues(images: DataFrame, annotations: DataFrame, targets: DataFrame) -> DataFrame:
-    """Images (split, image_id, filename, ann_ids), annotations (split, ann_id, image_id, cat_ids), target categories (category_id)."""
+def source_issues(images: DataFrame, annotations: DataFrame, targets: DataFrame, *, known: DataFrame | None = None) -> DataFrame:
+    """Images (split, image_id, filename, ann_ids), annotations (split, ann_id, image_id, cat_ids), target categories (category_id).
+
+    Annotations of images outside of `known` (split, image_id; by default all images) have an unknown image.
+    """
+    known = images if known is None else known
     names = images.groupBy("split", "filename").count().filter("count > 1")
     duplicate = issue(names, "duplicate_source_filename", F.col("filename"))
     listed = images.select("split", "image_id", F.explode("ann_ids").alias("ann_id")).distinct()
     target = annotations.select("*", F.explode_outer("cat_ids").alias("category_id")).join(targets, "category_id", "left_semi")
     per_annotation = target.groupBy("split", "ann_id", "image_id").agg(F.count_distinct("category_id").alias("n_classes"))
     several = issue(per_annotation.filter("n_classes > 1"), "source_multiple_target_classes", F.col("ann_id"), F.col("n_classes"))
-    unknown = issue(per_annotation.join(images.select("split", "image_id"), ["split", "image_id"], "left_anti"),
+    unknown = issue(per_annotation.join(known.select("split", "image_id"), ["split", "image_id"], "left_anti"),
                     "source_annotation_unknown_image", F.col("ann_id"), F.col("image_id"))
     unlisted = issue(per_annotation.join(listed, ["split", "image_id", "ann_id"], "left_anti"),
                      "source_annotation_missing_from_image", F.col("ann_id"), F.col("image_id"))
