@@ -95,12 +95,13 @@ def fill_zones(parts: DataFrame, originals: DataFrame, *, max_dist_units: float
     through the two nearest zones (or the nearest one).
     """
     known = parts.groupBy("page_id", "staff_row").agg(F.collect_list(F.struct("zone", "x_center", "y_center", "unit")).alias("known"))
-    found = originals.groupBy("page_id", "zone").agg(F.array_sort(F.collect_list(F.struct("y_center", "x_center", "unit"))).alias("found"))
-    zones = parts.select("page_id", "zone").unionByName(originals.select("page_id", "zone")).distinct()
-    grid = zones.join(known, "page_id").join(parts.select("page_id", "staff_row", "zone").withColumn("has", F.lit(True)),
-                                             ["page_id", "staff_row", "zone"], "left").filter("has IS NULL").drop("has")
+    point = F.when(F.col("zone").isNotNull(), F.struct("y_center", "x_center", "unit"))
+    points = originals.select("page_id", "zone", point.alias("o"))
+    zones = points.unionByName(parts.select("page_id", "zone"), allowMissingColumns=True).groupBy("page_id", "zone").agg(F.array_sort(F.collect_list("o")).alias("found"))
+    # the planner does not see how many rows an `explode` made and would send the grid through the driver
+    grid = zones.hint("merge").join(known, "page_id").filter(~F.coalesce(F.exists("known", lambda k: k["zone"] == F.col("zone")), F.lit(False)))
     near = F.array_sort(F.transform("known", lambda k: F.struct(F.abs(k["zone"] - F.col("zone")).alias("d"), k["zone"].alias("zone"), k.alias("k"))))
-    grid = grid.join(found, ["page_id", "zone"], "left").select("*", F.explode(F.array(near)).alias("near"))
+    grid = grid.select("*", F.explode(F.array(near)).alias("near"))
     a, b = F.col("near")[0]["k"], F.get("near", F.lit(1))["k"]
     original = F.get(F.filter("found", lambda f: F.abs(f["y_center"] - a["y_center"]) < a["unit"] * max_dist_units), F.lit(0))
     share = (F.col("zone") - a["zone"]) / (b["zone"] - a["zone"])
