@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from scorelake.operators import attach
 from scorelake.streaming import carry, pages
 
@@ -44,6 +46,43 @@ def test_a_page_delivered_again_appears_once(spark, tmp_path):
     assert got == sorted((p, s, v) for p, v in ((0, "t0"), (1, "t0"), (2, "t0"), (3, "t1"), (4, "t2")) for s in range(3))
 
 
+def _deliver(spark, folder, rows, step, schema="page_id bigint, det_seq bigint, v string"):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+    pages.process_pages(pages.read_pages(spark, folder + "/in", schema), folder + "/out", folder + "/checkpoint", step=step).awaitTermination()
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_what_arrived_is_kept_in_files(spark, tmp_path, monkeypatch, few):
+    """Rows of a known page that are new are taken, known ones are not, NULL counts as a value; no state store has to hold them all."""
+    monkeypatch.setattr(pages, "FEW_PAGES", few)
+    folder = str(tmp_path)
+    same = lambda rows: rows
+    _deliver(spark, folder, [(1, 1, "a"), (1, 1, "a"), (2, None, "a"), (None, 1, "a")], same)
+    _deliver(spark, folder, [(1, 1, "b"), (1, 2, "b"), (2, None, "b"), (None, 1, "b"), (None, 2, "b")], same)
+    _deliver(spark, folder, [(1, 1, "c"), (1, 2, "c"), (3, 1, "c")], same)
+    got = sorted((tuple(r) for r in spark.read.parquet(folder + "/out").select("page_id", "det_seq", "v").collect()), key=str)
+    assert got == sorted([(1, 1, "a"), (2, None, "a"), (None, 1, "a"), (1, 2, "b"), (None, 2, "b"), (3, 1, "c")], key=str)
+    assert not (tmp_path / "checkpoint" / "state").exists()
+
+
+def test_a_batch_that_failed_is_run_again(spark, tmp_path):
+    """Rows that were put away before the step failed do not count as delivered."""
+    folder, broken = str(tmp_path), [True]
+
+    def step(rows):
+        if rows.filter("v = 'b'").count() and broken.pop():
+            broken.append(False)
+            raise ValueError("first try")
+        return rows
+
+    _deliver(spark, folder, [(1, 1, "a")], step)
+    with pytest.raises(Exception, match="first try"):
+        _deliver(spark, folder, [(2, 1, "b"), (1, 1, "b")], step)
+    _deliver(spark, folder, [(3, 1, "c")], step)
+    got = sorted(tuple(r) for r in spark.read.parquet(folder + "/out").select("page_id", "det_seq", "v").collect())
+    assert got == [(1, 1, "a"), (2, 1, "b"), (3, 1, "c")]
+
+
 def test_late_pages_change_only_what_follows(spark, tmp_path):
     """Pages 2 and 3, then 0, then 1: values of pages before the late one are not written again."""
     folder = str(tmp_path)
