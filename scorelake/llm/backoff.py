@@ -38,6 +38,29 @@ def _extended(whole: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
     return mix(whole * LEFT + word * RIGHT + U64(k))
 
 
+def _sorted_places(values: np.ndarray) -> np.ndarray:
+    """The stable order of hashes: their upper bits are sorted with the place below them, which is several times faster than sorting places."""
+    bits = max(len(values) - 1, 1).bit_length()
+    low = U64((1 << bits) - 1)
+    places = (np.sort((values & ~low) | np.arange(len(values), dtype=U64)) & low).astype(np.int64)
+    found = values[places]
+    if (found[1:] < found[:-1]).any():  # equal upper bits of different hashes
+        return np.argsort(values, kind="stable")
+    return places
+
+
+def _by_codes(part: np.ndarray, columns: list[np.ndarray], count: int) -> np.ndarray:
+    """The stable order by part, below `count`, and then by columns of 16 bits: as many as fit are sorted in one number with the place below it."""
+    bits, head = max(len(part) - 1, 1).bit_length(), list(columns)
+    order = np.arange(len(part))
+    while head and count.bit_length() + 16 * len(head) + bits > 64:
+        order = order[np.argsort(head.pop()[order], kind="stable")]
+    key = part
+    for c in head:
+        key = key << U64(16) | c.astype(U64)
+    return order[(np.sort(key[order] << U64(bits) | np.arange(len(part), dtype=U64)) & U64((1 << bits) - 1)).astype(np.int64)]
+
+
 class Frequent:
     """Ranks of frequent words, by their hashes."""
 
@@ -54,7 +77,7 @@ class Frequent:
 
 
 class Grams:
-    """The n-grams of a slice: for each order the hashes at all places, NONE where an n-gram would leave its document, and the distinct ones."""
+    """The n-grams of a slice: for each order their places in order of their hashes, and the distinct ones. An n-gram that would leave its document has none."""
 
     def __init__(self, texts: pa.Array, order: int):
         data, offsets = text_bytes(texts)
@@ -62,30 +85,31 @@ class Grams:
         n = len(self.words)
         ends = np.repeat(self.at[1:], np.diff(self.at))
         self.doc = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
-        self.orders, self.distinct, self.first, self.counts, whole = [], [], [], [], np.full(n, 1, dtype=U64)
+        self.places, self.distinct, self.first, self.counts, whole = [], [], [], [], np.full(n, 1, dtype=U64)
         for k in range(order):
             whole = _extended(whole, np.concatenate([self.words[k:], np.zeros(min(k, n), dtype=U64)]), k)
-            self.orders.append(np.where(np.arange(n) + k < ends, np.maximum(whole, U64(1)), NONE))
-            found, first, counts = np.unique(self.orders[k], return_index=True, return_counts=True)
-            some = found != NONE
-            self.distinct.append(found[some])
-            self.first.append(first[some])
-            self.counts.append(counts[some])
+            hashes = np.where(np.arange(n) + k < ends, np.maximum(whole, U64(1)), NONE)
+            places = _sorted_places(hashes)
+            places = places[np.count_nonzero(hashes == NONE):]
+            start = np.flatnonzero(~_same(hashes[places]))
+            self.places.append(places)
+            self.first.append(places[start])
+            self.distinct.append(hashes[places[start]])
+            self.counts.append(np.diff(start, append=len(places)))
 
     def parts(self, frequent: Frequent, count: int) -> Iterator[tuple[int, list[np.ndarray], list[list[np.ndarray]]]]:
         """For each part the places in `distinct` of each order, and the codes of their words one by one.
 
         An n-gram lies in the part of its first rare word, so that this word travels once, or else of its own hash.
         """
-        code, placed = frequent.codes(self.words), []
+        code, placed = np.zeros(len(self.words), dtype=np.uint16), []
+        code[self.places[0]] = np.repeat(frequent.codes(self.words[self.first[0]]), self.counts[0])
         for k, (hashes, first) in enumerate(zip(self.distinct, self.first)):
-            at, key = hashes, np.zeros(len(hashes), dtype=U64)
+            at, columns = hashes, [code[first + j] for j in range(k + 1)]
             for j in range(k, -1, -1):
-                c = code[first + j]
-                at = np.where(c == RARE, self.words[first + j], at)
-                key |= c.astype(U64) << U64(16 * (k - j))
+                at = np.where(columns[j] == RARE, self.words[first + j], at)
             part = at % U64(count)
-            order = np.argsort(key | (part << U64(48)), kind="stable")
+            order = _by_codes(part, columns, count)
             placed.append((order, np.searchsorted(part[order], np.arange(count + 1))))
         for p in np.flatnonzero(sum(np.diff(cuts) for _, cuts in placed)).tolist():
             places = [order[cuts[p]:cuts[p + 1]] for order, cuts in placed]
@@ -100,15 +124,17 @@ class Grams:
         sizes = np.diff(self.at)
         rest = np.maximum((all_words - sizes)[self.doc], 1).astype(np.float64)
         others = []
-        for x, distinct, total in zip(self.orders, self.distinct, totals):
-            _, inverse, own = np.unique(mix(x ^ mix(self.doc.astype(U64) + U64(1))), return_inverse=True, return_counts=True)
-            other = np.zeros(len(x), dtype=np.int64)
-            inside = x != NONE
-            other[inside] = total[np.searchsorted(distinct, x[inside])] - own[inverse[inside]]
+        for places, counts, total in zip(self.places, self.counts, totals):
+            doc, new = self.doc[places], np.zeros(len(places), dtype=bool)
+            new[np.cumsum(counts) - counts] = True  # equal n-grams lie together, and those of a document in them
+            new[1:] |= doc[1:] != doc[:-1]
+            run = np.cumsum(new) - 1
+            other = np.zeros(len(self.doc), dtype=np.int64)
+            other[places] = np.repeat(total, counts) - np.bincount(run)[run]
             others.append(other)
         score = np.log(1.0 / rest)
         place = np.arange(len(self.doc)) - self.at[self.doc]
-        for k in range(1, len(self.orders) + 1):  # ending at each word; longer ones replace shorter ones
+        for k in range(1, len(self.places) + 1):  # ending at each word; longer ones replace shorter ones
             here = np.arange(len(self.doc)) - (k - 1)
             fits = place >= k - 1
             seen = np.zeros(len(self.doc), dtype=bool)

@@ -76,3 +76,16 @@ def test_requests_are_short_and_exact():
     assert sent < 5 * sum(map(len, seen))
     numbers = np.array([0, 1, 254, 255, 256, 1 << 40])
     assert (backoff.of_small(backoff.small_numbers(numbers), 6) == numbers).all()
+
+
+def test_sorting_with_places_below_the_value():
+    """Equal values keep their order, also where the upper bits do not tell values apart, and codes that do not fit into one number are sorted in passes."""
+    rng = np.random.default_rng(5)
+    for values in (rng.integers(0, 1 << 64, 5000, dtype=np.uint64), rng.integers(0, 40, 5000, dtype=np.uint64), np.zeros(0, dtype=np.uint64),
+                   (np.uint64(7) << np.uint64(50)) + rng.integers(0, 4000, 5000, dtype=np.uint64)):
+        assert np.array_equal(backoff._sorted_places(values), np.argsort(values, kind="stable"))
+    for count in (1, 6, 65535):
+        part = rng.integers(0, count, 5000, dtype=np.uint64)
+        for k in range(4):
+            columns = [rng.choice([0, 3, 65535], 5000).astype(np.uint16) for _ in range(k)]
+            assert np.array_equal(backoff._by_codes(part, columns, count), np.lexsort([*columns[::-1], part]))
