@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from scorelake.operators import associate, attach, components, curves, evaluate, greedy, profile, spans, tokens
+from scorelake.operators import associate, attach, components, curves, evaluate, greedy, keys, profile, spans, tokens
 from scorelake.plans import queries_spans
 from scorelake.streaming import pages
 
@@ -266,3 +266,41 @@ def test_both_ends_of_a_curve_meet_their_staff_once(spark):
                     costs.append(1.5 * dx + 0.35 * dy)
             mine = got[p, c][end]
             assert (mine and mine["cost"]) == (min(costs) if costs else None)
+
+
+def test_edges_of_hairpins_meet_their_staff_once(spark):
+    """Both edges find the closest group in one join, also beside equal distances and copies; crowded staves are merged with theirs and give the same."""
+    rng = random.Random(9)
+    box = lambda x, y: (float(x), float(y), float(x + 10), float(y + 10))
+    heads = [(p, k, *box(rng.randrange(0, 900, 10), 95)) for p in range(3) for k in range(1 + 7 * p)]
+    made = [(p, k, "crescendo", None, float(x := rng.randrange(0, 900, 5)), 125., float(x + rng.randrange(20, 200, 5)), 145., 0.9) for p in range(4) for k in range(15)]
+    groups = spark.createDataFrame(heads, "page_id int, ng bigint, x0 double, y0 double, x1 double, y1 double")
+    pins = spark.createDataFrame(made, "page_id int, cand_seq bigint, class_name string, side string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    near = lambda p, x: min(((abs(x - (h[2] + h[4]) / 2), h[1]) for h in heads if h[0] == p), default=None)
+    want = set()
+    for p, k, _, _, x0, _, x1, _, _ in made:
+        a, b = near(p, x0), near(p, x1)
+        reason = ("not_enough_note_groups_for_span" if sum(h[0] == p for h in heads) < 2 else "span_endpoints_not_distinct" if a[1] == b[1]
+                  else "span_endpoints_too_far" if max(a[0], b[0]) / 10 > 3.75 else None)
+        want.add((p, k, reason, None if reason else a[1], None if reason else b[1]))
+    assert len({w[2] for w in want}) == 4
+    columns = ["page_id", "cand_seq", "association_reason", "start_ng", "stop_ng"]
+    done = associate.associate_hairpins(pins, groups, None, fallback_unit=10)
+    assert {tuple(r) for r in done.select(*columns).collect()} == want and plan_of(done).count("Exchange hash") <= 4
+    assert {tuple(r) for r in associate.associate_hairpins(pins, groups, None, fallback_unit=10, max_partners=10).select(*columns).collect()} == want
+
+
+def test_notes_move_once_for_their_accidentals(spark):
+    """One shuffle in place of one for the window, one for totals and two for the way back; large groups go by segments with the same outcome."""
+    rng = random.Random(2)
+    made = [(p, slot, ng, 14 + rng.randrange(3), rng.choice([None, None, -1, 0, 1]), p % 9 - 4) for p in range(4) for slot in range(12) for ng in range(3)]
+    notes = spark.createDataFrame(made, "page_id long, slot long, ng long, steps long, accidental long, fifths long")
+    done = [keys.carry_accidentals(notes, measure=["page_id"], segment="slot", order=["slot", "ng"], **more) for more in ({}, {"max_group": 8})]
+    assert plan_of(done[0]).count("Exchange hash") == 1
+    rows = [{tuple(r) for r in d.select("page_id", "slot", "ng", "alter").collect()} for d in done]
+    assert rows[0] == rows[1] and len(rows[0]) == len(made)
+    held = {}
+    for p, slot, ng, steps, own, _ in made:
+        held[p, steps] = held.get((p, steps)) if own is None else own
+        if held[p, steps] is not None:
+            assert (p, slot, ng, held[p, steps]) in rows[0]
