@@ -44,7 +44,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     """The lowest 16 bits of the minima of PLACES hash functions over a set."""
     low = np.full(PLACES, np.iinfo(np.uint64).max, dtype=U64)
     for a in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[a:a + 2048, None] * FACTOR + SHIFT).min(axis=0))
+        values = np.multiply.outer(FACTOR, hashes[a:a + 2048])  # a row per function, so that its minimum runs along memory
+        values += SHIFT[:, None]
+        low = np.minimum(low, values.min(axis=1))
     return low.astype("<u2")
 
 
@@ -278,7 +280,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     families = components(pairs).select(F.col("id").alias("rep"), F.col("label").alias("family"))
     nodes = families.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select(
         "rep", "family", F.coalesce("label", "rep").alias("comp"))
-    labels = components(links.unionByName(_family_links(staged(nodes, "nodes"), full, percent)))
+    inside = staged(_family_links(staged(nodes, "nodes"), full, percent), "inside")  # compared once, read three times
+    labels = components(links.unionByName(inside))
 
     whole = staged(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_id", "copies", "first", F.coalesce("label", "rep").alias("label")), "labelled")

@@ -169,3 +169,10 @@ def test_bridges_join_what_chains_of_pairs_join():
 
         far = [(i, j) for i in range(n) for j in range(n) if apart[i, j] <= near.FAR]
         assert classes(near.bridges(apart, labels, labels)) == classes(far)
+
+
+def test_signature_of_a_long_set():
+    """Minima over all blocks of a set, function by function."""
+    hashes = np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    want = [int((hashes * f + s).min()) & 0xFFFF for f, s in zip(near.FACTOR, near.SHIFT)]
+    assert near.signature(hashes).tolist() == want
